@@ -186,6 +186,4 @@ def with_season_weights(df: DataFrame, weights: DataFrame, season_col: str = "se
         .join(F.broadcast(fallback), F.col("__fallback") == codes.DEFAULT_WEIGHT_SEASON, "left")
     )
     chosen = F.coalesce("__own", "__default")
-    for c in codes.WEIGHT_COLUMNS:
-        out = out.withColumn(c, chosen[c])
-    return out.drop("__season", "__own", "__fallback", "__default")
+    return out.select(*df.columns, *[chosen[c].alias(c) for c in codes.WEIGHT_COLUMNS])
