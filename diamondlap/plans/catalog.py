@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from diamondlap.plans import catalog_matchup, catalog_pitching, catalog_serve  # noqa: F401
+from diamondlap.plans import catalog_matchup, catalog_pitching, catalog_racing, catalog_serve  # noqa: F401
 from diamondlap.plans.registry import ORACLE, QUERIES  # noqa: F401

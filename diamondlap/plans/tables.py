@@ -193,10 +193,10 @@ VIEWS: dict[str, View] = {
         "concat(CAST(CAST(ts AS DATE) AS STRING), ' ', lpad(CAST(hour(ts) AS STRING), 2, '0')) AS snapshot_at",
         f"CAST({DRIVER} AS INT) AS driver_id", f"{DRIVER_NAME} AS driver_name",
         f"concat('', CAST({DRIVER} + 1 AS STRING)) AS car_number", f"{MAKE} AS manufacturer",
-        "CAST(hour(ts) * 17 AS INT) AS lap",
+        "CAST(hour(ts) * (dayofyear(ts) % 17) AS INT) AS lap",
         "400 AS total_laps",
         "CASE WHEN max(event_id) % 11 = 0 THEN NULL ELSE CAST(max(event_id) % 40 + 1 AS INT) END AS position",
-        "CAST(hour(ts) * 17 AS INT) AS laps_completed",
+        "CAST(hour(ts) * (dayofyear(ts) % 17) AS INT) AS laps_completed",
         "CAST(count(*) AS INT) AS laps_led",
         "CAST(max(event_id) % 3 AS INT) AS pit_stops",
         "CASE WHEN max(event_id) % 9 = 0 THEN NULL ELSE 150 + max(value) END AS best_lap_speed",
