@@ -1,7 +1,7 @@
 """Game documents to tables.
 
 `raw` holds game_pk, game_date and the document text in `data`. Every table is
-one select over the parsed document; Spark parses only the branch it needs.
+one select over the parsed document and names only the part of it that it needs.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from diamondlap.functions.scalars import no_nan, safe_float, safe_int, text_or_n
 from diamondlap.sources import schemas
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    return raw.select("game_pk", "game_date", F.from_json("data", schemas.GAME).alias("d"))
+def parsed(raw: DataFrame, schema: str) -> DataFrame:
+    return raw.select("game_pk", "game_date", F.from_json("data", schema).alias("d"))
 
 
 def rejects(raw: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def fields(root: str, mapping: dict[str, str]) -> list[Column]:
 
 
 def games(raw: DataFrame) -> DataFrame:
-    return parsed(raw).select(
+    return parsed(raw, schemas.GAME_HEADER).select(
         "game_pk", "game_date",
         *fields("d.gameData", {
             "game_type": "game.type", "status": "status.detailedState",
@@ -55,12 +55,12 @@ def games(raw: DataFrame) -> DataFrame:
     )
 
 
-def plays(raw: DataFrame) -> DataFrame:
-    return parsed(raw).select("game_pk", F.explode("d.liveData.plays.allPlays").alias("play"))
+def plays(raw: DataFrame, schema: str) -> DataFrame:
+    return parsed(raw, schema).select("game_pk", F.explode("d.liveData.plays.allPlays").alias("play"))
 
 
 def at_bats(raw: DataFrame) -> DataFrame:
-    return plays(raw).select("game_pk", *fields("play", {
+    return plays(raw, schemas.GAME_AT_BATS).select("game_pk", *fields("play", {
         "at_bat_index": "about.atBatIndex", "inning": "about.inning", "half_inning": "about.halfInning",
         "batter_id": "matchup.batter.id", "batter_name": "matchup.batter.fullName",
         "pitcher_id": "matchup.pitcher.id", "pitcher_name": "matchup.pitcher.fullName",
@@ -74,7 +74,7 @@ def at_bats(raw: DataFrame) -> DataFrame:
 
 def pitches(raw: DataFrame) -> DataFrame:
     """Pitch events; pitch_index is the place among all events of the at-bat."""
-    events = plays(raw).select(
+    events = plays(raw, schemas.GAME_EVENTS).select(
         "game_pk", F.col("play.about.atBatIndex").alias("at_bat_index"),
         F.col("play.matchup.pitcher.id").alias("pitcher_id"), F.col("play.matchup.batter.id").alias("batter_id"),
         F.posexplode("play.playEvents").alias("pitch_index", "e"),
@@ -108,14 +108,14 @@ def pitches(raw: DataFrame) -> DataFrame:
     )
 
 
-def _runner_rows(raw: DataFrame) -> DataFrame:
-    return plays(raw).select(
+def _runner_rows(raw: DataFrame, schema: str) -> DataFrame:
+    return plays(raw, schema).select(
         "game_pk", F.col("play.about.atBatIndex").alias("at_bat_index"), F.explode("play.runners").alias("r")
     )
 
 
 def runners(raw: DataFrame) -> DataFrame:
-    return _runner_rows(raw).select("game_pk", "at_bat_index", *fields("r", {
+    return _runner_rows(raw, schemas.GAME_RUNNERS).select("game_pk", "at_bat_index", *fields("r", {
         "play_index": "details.playIndex", "runner_id": "details.runner.id",
         "runner_name": "details.runner.fullName", "start_base": "movement.start", "end_base": "movement.end",
         "out_base": "movement.outBase", "is_out": "movement.isOut", "out_number": "movement.outNumber",
@@ -126,7 +126,7 @@ def runners(raw: DataFrame) -> DataFrame:
 
 
 def fielding_credits(raw: DataFrame) -> DataFrame:
-    return _runner_rows(raw).select("game_pk", "at_bat_index", F.explode("r.credits").alias("c")).select(
+    return _runner_rows(raw, schemas.GAME_CREDITS).select("game_pk", "at_bat_index", F.explode("r.credits").alias("c")).select(
         "game_pk", "at_bat_index",
         *fields("c", {
             "player_id": "player.id", "position_code": "position.code", "position_name": "position.name",
@@ -141,7 +141,7 @@ def linescore(raw: DataFrame) -> DataFrame:
         F.struct(F.lit("top").alias("half_inning"), F.col("i.away").alias("h")),
         F.struct(F.lit("bottom").alias("half_inning"), F.col("i.home").alias("h")),
     ))
-    rows = parsed(raw).select("game_pk", F.explode("d.liveData.linescore.innings").alias("i")).select(
+    rows = parsed(raw, schemas.GAME_INNINGS).select("game_pk", F.explode("d.liveData.linescore.innings").alias("i")).select(
         "game_pk", F.col("i.num").alias("inning"), halves.alias("s")
     )
     return rows.select(
@@ -150,10 +150,10 @@ def linescore(raw: DataFrame) -> DataFrame:
     ).dropna(how="all", subset=["runs", "hits", "errors", "left_on_base"])
 
 
-def _players(raw: DataFrame) -> DataFrame:
+def _players(raw: DataFrame, kind: str) -> DataFrame:
     sides = F.explode(F.array("d.liveData.boxscore.teams.away", "d.liveData.boxscore.teams.home"))
     return (
-        parsed(raw).select("game_pk", sides.alias("side"))
+        parsed(raw, schemas.game_box(kind)).select("game_pk", sides.alias("side"))
         .select("game_pk", F.col("side.team.id").alias("team_id"), F.explode("side.players").alias("key", "p"))
         .select(
             "game_pk", F.col("p.person.id").alias("player_id"), "team_id", F.col("p.battingOrder").alias("slot"),
@@ -166,7 +166,7 @@ def _players(raw: DataFrame) -> DataFrame:
 def _stat_rows(raw: DataFrame, kind: str, whole: dict[str, str], real: dict[str, str], *extra: Column) -> DataFrame:
     """One row per player with any stats of the kind."""
     stat = lambda key: F.try_element_at("s", F.lit(key))
-    rows = _players(raw).withColumn("s", F.col(f"stats.{kind}")).filter(F.size(F.coalesce("s", F.create_map())) > 0)
+    rows = _players(raw, kind).withColumn("s", F.col(f"stats.{kind}")).filter(F.size(F.coalesce("s", F.create_map())) > 0)
     return rows.select(
         "game_pk", "player_id", "team_id", *extra,
         *[safe_int(stat(k)).alias(n) for n, k in whole.items()],
@@ -215,7 +215,7 @@ def batting_sides(raw: DataFrame) -> DataFrame:
     ]))
     none = F.array().cast("array<int>")
     pitchers = lambda c: F.coalesce(F.col(c), none)
-    return parsed(raw).select("game_pk", sides.alias("x")).select(
+    return parsed(raw, schemas.GAME_SIDES).select("game_pk", sides.alias("x")).select(
         "game_pk", "x.side", F.col("x.own.battingOrder").alias("batting_order"),
         F.concat(pitchers("x.own.pitchers"), pitchers("x.other.pitchers")).alias("pitchers"),
         # The first listed pitcher of the other side is the starter.
@@ -232,7 +232,7 @@ def explore_game(raw: DataFrame) -> DataFrame:
         lambda p: F.filter(F.coalesce(p["playEvents"], F.array()), lambda e: F.coalesce(e["isPitch"], F.lit(False))),
     ))
     kinds = F.transform(thrown, lambda e: e["details"]["type"]["code"])
-    return parsed(raw).select(
+    return parsed(raw, schemas.GAME_SUMMARY).select(
         "game_pk", "game_date", F.col("d.gameData.status.detailedState").alias("status"),
         F.concat_ws(" @ ", "d.gameData.teams.away.abbreviation", "d.gameData.teams.home.abbreviation").alias("matchup"),
         F.col("d.gameData.venue.name").alias("venue"), F.col("d.gameData.weather").alias("weather"),

@@ -26,36 +26,62 @@ _EVENT = (
     "hardness: STRING, coordinates: STRUCT<coordX: DOUBLE, coordY: DOUBLE>>, "
     "count: STRUCT<balls: INT, strikes: INT>>"
 )
-_RUNNER = (
-    "STRUCT<movement: STRUCT<start: STRING, `end`: STRING, outBase: STRING, isOut: BOOLEAN, outNumber: INT>, "
-    f"details: STRUCT<playIndex: INT, runner: {_BY_NAME}, responsiblePitcher: STRUCT<id: INT>, event: STRING, "
-    "eventType: STRING, isScoringEvent: BOOLEAN, rbi: BOOLEAN, earned: BOOLEAN, teamUnearned: BOOLEAN>, "
-    "credits: ARRAY<STRUCT<player: STRUCT<id: INT>, position: STRUCT<code: STRING, name: STRING>, credit: STRING>>>"
-)
-_PLAY = (
-    "STRUCT<result: STRUCT<event: STRING, eventType: STRING, description: STRING, rbi: INT, awayScore: INT, homeScore: INT>, "
-    "about: STRUCT<atBatIndex: INT, inning: INT, halfInning: STRING, isScoringPlay: BOOLEAN, hasOut: BOOLEAN, captivatingIndex: INT>, "
-    f"matchup: STRUCT<batter: {_BY_NAME}, pitcher: {_BY_NAME}, batSide: {_CODE}, pitchHand: {_CODE}>, "
-    "count: STRUCT<balls: INT, strikes: INT, outs: INT>, "
-    f"playEvents: ARRAY<{_EVENT}>, runners: ARRAY<{_RUNNER}>>"
-)
-_STATS = "STRUCT<batting: MAP<STRING, STRING>, pitching: MAP<STRING, STRING>, fielding: MAP<STRING, STRING>>"
-_SIDE = (
-    "STRUCT<team: STRUCT<id: INT>, battingOrder: ARRAY<INT>, pitchers: ARRAY<INT>, "
-    f"players: MAP<STRING, STRUCT<person: {_BY_NAME}, batSide: {_CODE}, battingOrder: STRING, stats: {_STATS}>>>"
+_RUNNER_DETAILS = (
+    f"STRUCT<playIndex: INT, runner: {_BY_NAME}, responsiblePitcher: STRUCT<id: INT>, event: STRING, "
+    "eventType: STRING, isScoringEvent: BOOLEAN, rbi: BOOLEAN, earned: BOOLEAN, teamUnearned: BOOLEAN>"
 )
-GAME = (
-    "gamePk INT, "
+_MOVEMENT = "STRUCT<start: STRING, `end`: STRING, outBase: STRING, isOut: BOOLEAN, outNumber: INT>"
+_CREDIT = "STRUCT<player: STRUCT<id: INT>, position: STRUCT<code: STRING, name: STRING>, credit: STRING>"
+
+
+def _plays(fields: str) -> str:
+    return f"liveData STRUCT<plays: STRUCT<allPlays: ARRAY<STRUCT<{fields}>>>>"
+
+
+def _box(player: str, rest: str = "") -> str:
+    side = f"STRUCT<team: STRUCT<id: INT>, {rest}players: MAP<STRING, STRUCT<{player}>>>"
+    return f"liveData STRUCT<boxscore: STRUCT<teams: STRUCT<away: {side}, home: {side}>>>"
+
+
+# A table reads its own part of the game document; the parser skips the rest.
+GAME_HEADER = (
     "gameData STRUCT<game: STRUCT<type: STRING, season: STRING, doubleHeader: STRING, gameNumber: INT>, "
     "datetime: STRUCT<originalDate: STRING, dayNight: STRING>, status: STRUCT<detailedState: STRING>, "
     f"teams: STRUCT<away: {_CLUB}, home: {_CLUB}>, venue: STRUCT<id: INT, name: STRING>, "
     "weather: STRUCT<temp: STRING, condition: STRING, wind: STRING>, "
     "flags: STRUCT<noHitter: BOOLEAN, perfectGame: BOOLEAN>>, "
     "liveData STRUCT<linescore: STRUCT<currentInning: INT, inningState: STRING, scheduledInnings: INT, "
-    f"teams: STRUCT<away: {_LINE}, home: {_LINE}>, innings: ARRAY<STRUCT<num: INT, away: {_HALF}, home: {_HALF}>>>, "
-    "decisions: STRUCT<winner: STRUCT<id: INT>, loser: STRUCT<id: INT>, save: STRUCT<id: INT>>, "
-    f"plays: STRUCT<allPlays: ARRAY<{_PLAY}>>, boxscore: STRUCT<teams: STRUCT<away: {_SIDE}, home: {_SIDE}>>>"
+    f"teams: STRUCT<away: {_LINE}, home: {_LINE}>>, "
+    "decisions: STRUCT<winner: STRUCT<id: INT>, loser: STRUCT<id: INT>, save: STRUCT<id: INT>>>"
 )
+GAME_INNINGS = f"liveData STRUCT<linescore: STRUCT<innings: ARRAY<STRUCT<num: INT, away: {_HALF}, home: {_HALF}>>>>"
+GAME_AT_BATS = _plays(
+    "result: STRUCT<event: STRING, eventType: STRING, description: STRING, rbi: INT, awayScore: INT, homeScore: INT>, "
+    "about: STRUCT<atBatIndex: INT, inning: INT, halfInning: STRING, isScoringPlay: BOOLEAN, hasOut: BOOLEAN, captivatingIndex: INT>, "
+    f"matchup: STRUCT<batter: {_BY_NAME}, pitcher: {_BY_NAME}, batSide: {_CODE}, pitchHand: {_CODE}>, "
+    "count: STRUCT<balls: INT, strikes: INT, outs: INT>"
+)
+GAME_EVENTS = _plays(
+    "about: STRUCT<atBatIndex: INT>, matchup: STRUCT<batter: STRUCT<id: INT>, pitcher: STRUCT<id: INT>>, "
+    f"playEvents: ARRAY<{_EVENT}>"
+)
+GAME_RUNNERS = _plays(
+    f"about: STRUCT<atBatIndex: INT>, runners: ARRAY<STRUCT<movement: {_MOVEMENT}, details: {_RUNNER_DETAILS}>>"
+)
+GAME_CREDITS = _plays(f"about: STRUCT<atBatIndex: INT>, runners: ARRAY<STRUCT<credits: ARRAY<{_CREDIT}>>>")
+GAME_SIDES = _box(
+    f"person: STRUCT<fullName: STRING>, batSide: {_CODE}", "battingOrder: ARRAY<INT>, pitchers: ARRAY<INT>, "
+)
+GAME_SUMMARY = GAME_HEADER[:-1] + (
+    ", plays: STRUCT<allPlays: ARRAY<STRUCT<playEvents: ARRAY<STRUCT<isPitch: BOOLEAN, "
+    "details: STRUCT<type: STRUCT<code: STRING>>>>>>>>"
+)
+
+
+def game_box(kind: str) -> str:
+    """Box score with one kind of statistics: batting, pitching or fielding."""
+    return _box(f"person: STRUCT<id: INT>, battingOrder: STRING, stats: STRUCT<{kind}: MAP<STRING, STRING>>")
+
 
 _SCHEDULED = "STRUCT<team: STRUCT<name: STRING, abbreviation: STRING>, probablePitcher: STRUCT<id: INT, fullName: STRING>>"
 SCHEDULE = (
