@@ -24,10 +24,10 @@ def pitch_context(
     p = pitches if pitches_where is None else pitches.filter(pitches_where)
     a = at_bats if at_bats_where is None else at_bats.filter(at_bats_where)
     g = games if games_where is None else games.filter(games_where)
-    shared = {"game_pk", "at_bat_index"}
-    side = a.join(g, "game_pk")
-    side = side.select(*[c for c in side.columns if c in shared or c not in pitches.columns])
-    return p.join(side, ["game_pk", "at_bat_index"]).select(*columns)
+    # A column held by more than one table is taken from the finest of them.
+    a = a.select("game_pk", "at_bat_index", *[c for c in a.columns if c not in pitches.columns])
+    g = g.select("game_pk", *[c for c in g.columns if c not in {*a.columns, *pitches.columns}])
+    return p.join(a.join(g, "game_pk"), ["game_pk", "at_bat_index"]).select(*columns)
 
 
 def load_pitches(
