@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from diamondlap.functions import codes
+from diamondlap.functions.groups import join_back
 from diamondlap.functions.scalars import all_of, between_dates, half_up, in_zone, rate, ratio
 
 
@@ -170,20 +171,20 @@ def linear_weights(spark: SparkSession, seasons: Sequence[int] = tuple(codes.LIN
     return spark.createDataFrame(rows, schema)
 
 
-def with_season_weights(df: DataFrame, weights: DataFrame, season_col: str = "season") -> DataFrame:
-    """Attach weight columns by season, else those of the default season.
-
-    The weights table holds one row per season, so broadcasting it is bounded.
-    """
-    by_season = weights.select(
-        F.col("season").alias("__season"), F.struct(*codes.WEIGHT_COLUMNS).alias("__own")
-    )
-    fallback = weights.filter(F.col("season") == codes.DEFAULT_WEIGHT_SEASON).select(
-        F.col("season").alias("__fallback"), F.struct(*codes.WEIGHT_COLUMNS).alias("__default")
-    )
-    out = (
-        df.join(F.broadcast(by_season), F.col(season_col) == F.col("__season"), "left")
-        .join(F.broadcast(fallback), F.col("__fallback") == codes.DEFAULT_WEIGHT_SEASON, "left")
+def season_weights(weights: DataFrame, first: int = codes.FIRST_SEASON, last: int = codes.LAST_SEASON) -> DataFrame:
+    """One weight row for every season there can be; seasons without their own
+    take the default season's. A few hundred rows, so always fit to broadcast."""
+    seasons = weights.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("season"))
+    own = weights.select("season", F.struct(*codes.WEIGHT_COLUMNS).alias("__own"))
+    fallback = weights.filter(F.col("season") == codes.DEFAULT_WEIGHT_SEASON).agg(
+        F.first(F.struct(*codes.WEIGHT_COLUMNS)).alias("__default")
     )
+    rows = join_back(seasons.join(F.broadcast(own), "season", "left"), fallback, ())
     chosen = F.coalesce("__own", "__default")
-    return out.select(*df.columns, *[chosen[c].alias(c) for c in codes.WEIGHT_COLUMNS])
+    return rows.select("season", *[chosen[c].alias(c) for c in codes.WEIGHT_COLUMNS])
+
+
+def with_season_weights(df: DataFrame, weights: DataFrame, season_col: str = "season") -> DataFrame:
+    """Attach the weight columns of each row's season."""
+    table = season_weights(weights).withColumnRenamed("season", "__season")
+    return df.join(F.broadcast(table), F.col(season_col) == F.col("__season"), "left").drop("__season")

@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 from diamondlap.plans.tables import Tables
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Writing JSON is slow work per row, so an input that comes in fewer pieces
+    than there are cores is dealt out first; a large input never is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _json(expr: str):
     return F.expr(f"to_json({expr})").alias("data")
 
@@ -37,7 +44,7 @@ def game_documents(t: Tables) -> DataFrame:
         f"'players', map(concat('ID', CAST({base} + 1 AS STRING)), {_player(f'({base} + 1)', 0)}, "
         f"concat('ID', CAST({base} + 2 AS STRING)), {_player(f'({base} + 2)', 1)}))"
     )
-    return t.base("orders").select(
+    return _spread(t.base("orders")).select(
         F.col("o_orderkey").cast("int").alias("game_pk"),
         F.expr("CAST(CAST(o_orderdate AS DATE) AS STRING)").alias("game_date"),
         _json(
@@ -65,7 +72,7 @@ def game_documents(t: Tables) -> DataFrame:
 def play_documents(t: Tables) -> DataFrame:
     """One single-play game document per line item: a non-pitch event, then the
     pitch, and two runners of whom one has fielding credits."""
-    src = t.base("lineitem")
+    src = _spread(t.base("lineitem"))
     cols = {c.rsplit(" AS ", 1)[1]: c.rsplit(" AS ", 1)[0] for c in _pitch_view()}
     return src.select(
         F.col("l_orderkey").cast("int").alias("game_pk"), F.lit(None).cast("string").alias("game_date"),
@@ -110,7 +117,7 @@ def schedule_documents(t: Tables) -> DataFrame:
         "'linescore', named_struct('currentInning', CAST(o_custkey % 9 + 1 AS INT), 'teams', named_struct('away', named_struct('runs', CAST(o_custkey % 8 AS INT)))))"
     )
     day = lambda shift: f"named_struct('date', CAST(date_add(CAST(o_orderdate AS DATE), {shift}) AS STRING), 'games', array({game}))"
-    return t.base("orders").select(
+    return _spread(t.base("orders")).select(
         _json(f"named_struct('dates', CASE WHEN o_orderkey % 3 = 0 THEN array({day(0)}, {day(1)}) ELSE array({day(0)}) END)")
     )
 
@@ -153,7 +160,7 @@ def race_documents(t: Tables) -> DataFrame:
         ),
     }
     pairs = ", ".join(f"named_struct('endpoint_type', '{k}', 'data', {v})" for k, v in docs.items())
-    return t.base("events").select(
+    return _spread(t.base("events")).select(
         *[F.expr(k) for k in RACE_KEYS], F.expr("CAST(ts AS TIMESTAMP)").alias("fetched_at"),
         F.explode(F.expr(f"array({pairs})")).alias("x"),
     ).select("season", "series_id", "race_id", "x.endpoint_type", "x.data", "fetched_at")
@@ -189,7 +196,7 @@ def round_documents(t: Tables) -> DataFrame:
         ),
     }
     pairs = ", ".join(f"named_struct('event_type', '{k}', 'data', {v})" for k, v in docs.items())
-    return t.base("events").select(
+    return _spread(t.base("events")).select(
         F.expr("CAST(2020 + event_id % 6 AS INT)").alias("season"), F.col("event_id").cast("int").alias("round"),
         F.lit("jolpica").alias("source"), F.expr("concat('circuit', CAST(event_id % 24 AS STRING))").alias("circuit_id"),
         F.expr("CAST(ts AS TIMESTAMP)").alias("fetched_at"), F.explode(F.expr(f"array({pairs})")).alias("x"),
@@ -198,7 +205,7 @@ def round_documents(t: Tables) -> DataFrame:
 
 def live_feed_documents(t: Tables) -> DataFrame:
     """One live feed per event with two cars, one of them with pit stops."""
-    return t.base("events").select(
+    return _spread(t.base("events")).select(
         F.expr("CAST(dayofyear(ts) AS INT)").alias("race_id"), F.lit(2024).alias("season"), F.lit(1).alias("series_id"),
         F.expr("CAST(ts AS TIMESTAMP)").alias("snapshot_at"),
         _json(
@@ -216,6 +223,6 @@ def live_feed_documents(t: Tables) -> DataFrame:
 def season_schedule_documents(t: Tables) -> DataFrame:
     """One season schedule per event, two series keys and one other key."""
     race = "named_struct('race_id', CAST(event_id AS STRING), 'race_name', CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('Race at ', event_type) END, 'race_date', CAST(CAST(ts AS DATE) AS STRING), 'scheduled_laps', '300')"
-    return t.base("events").select(
+    return _spread(t.base("events")).select(
         _json(f"map('series_1', array({race}), 'series_2', array({race}, named_struct('race_id', CAST(NULL AS STRING), 'race_name', 'x', 'race_date', 'x', 'scheduled_laps', 'x')), 'notes', array({race}))")
     )
