@@ -81,8 +81,7 @@ def manufacturer_index(
         (F.sum(f"s_{a}") / F.nullif(F.sum(f"n_{a}"), F.lit(0))).alias(f"f_{a}") for a in measures.values()
     ])
     own = lambda a: F.col(f"s_{a}") / F.nullif(F.col(f"n_{a}"), F.lit(0))
-    # A handful of makes per track.
-    out = join_back(sums, F.broadcast(field) if scope else field, scope).filter(F.col("manufacturer").isNotNull())
+    out = join_back(sums, field, scope).filter(F.col("manufacturer").isNotNull())
     out = out.select(
         *scope, "manufacturer", "drivers", "entries",
         half_up(own("rating"), 2).alias("avg_rating"), half_up(own("finish"), 1).alias("avg_finish"),
