@@ -16,7 +16,12 @@ from diamondlap.streaming import games as live
 
 
 def table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{warehouse}/{name}")
+    """A stored table; one of the flattened tables may still be without rows."""
+    if name not in flatten_mlb.TABLES:
+        return spark.read.parquet(f"{warehouse}/{name}")
+    no_documents = spark.createDataFrame([], "game_pk INT, game_date STRING, data STRING")
+    schema = flatten_mlb.TABLES[name](no_documents).schema
+    return sinks.read_table(spark, f"{warehouse}/{name}", schema)
 
 
 def mlb_daily(spark: SparkSession, landing_dir: str, warehouse: str, run: int = 0) -> DataFrame:
