@@ -197,6 +197,55 @@ def history_blend(
         cols[f"{tag}_run"] = less("rs") / F.nullif(less("rn"), F.lit(0.0))
     rows = rows.select("race_id", "driver_name", *[c.alias(n) for n, c in cols.items()])
 
+    finish, run = _blended()
+    known = (F.col("st_races") + F.col("ty_races") + F.col("all_races")) > 0
+    return rows.filter(known).select(
+        "race_id", "driver_name",
+        finish.alias("hist_avg_finish"),
+        run.alias("hist_avg_running"),
+        *[F.col(f"{tag}_races").cast("bigint").alias(name) for tag, name in HISTORY_COUNTS.items()],
+    )
+
+
+def race_history(results: DataFrame, races: DataFrame, race_id: int, same_from: int = 2023, recent_from: int = 2024) -> DataFrame:
+    """The same blend for one race and every driver with any history: three
+    aggregates over the other races, joined in full on the driver."""
+    meta = races.filter(F.col("race_id") == race_id).select(
+        F.col("track_name").alias("__track"), F.col("track_type").alias("__type")
+    ).limit(1)
+    past = join_back(
+        results.filter((F.col("finish_position") > 0) & (F.col("race_id") != race_id))
+        .select("race_id", "driver_name", "finish_position", "avg_position")
+        .join(races.select("race_id", "season", "track_name", "track_type"), "race_id"),
+        meta, (),
+    )
+
+    def mean(rows, tag):
+        return rows.groupBy("driver_name").agg(
+            F.avg("finish_position").alias(f"{tag}_finish"), F.avg("avg_position").alias(f"{tag}_run"),
+            F.count(F.lit(1)).alias(f"{tag}_n"),
+        )
+
+    recent = past.filter(F.col("season") >= recent_from)
+    same = past.filter((F.col("season") >= same_from) & (F.col("track_name") == F.col("__track")))
+    kind = recent.filter(F.col("track_type") == F.col("__type"))
+    rows = (
+        mean(recent, "all").join(mean(kind, "ty"), "driver_name", "full_outer")
+        .join(mean(same, "st"), "driver_name", "full_outer")
+    )
+    finish, run = _blended()
+    rows = rows.withColumns({f"{tag}_races": F.coalesce(f"{tag}_n", F.lit(0)) for tag in ("st", "ty", "all")})
+    return rows.select(
+        F.lit(race_id).alias("race_id"), "driver_name", finish.alias("hist_avg_finish"), run.alias("hist_avg_running"),
+        *[F.col(f"{tag}_races").cast("bigint").alias(name) for tag, name in HISTORY_COUNTS.items()],
+    )
+
+
+HISTORY_COUNTS = {"st": "same_track_races", "ty": "same_type_races", "all": "all_track_races"}
+
+
+def _blended() -> tuple[Column, Column]:
+    """Expected finish and running position from the three histories."""
     default = F.lit(DEFAULT_FINISH)
     st, ty, al = F.col("st_finish"), F.col("ty_finish"), F.col("all_finish")
     finish = _blend(st, F.coalesce(ty, al, default), ty, F.coalesce(al, default))
@@ -206,15 +255,7 @@ def history_blend(
         F.coalesce(F.col("ty_run"), ty),
         F.coalesce(F.col("all_run"), al, default),
     )
-    known = (F.col("st_races") + F.col("ty_races") + F.col("all_races")) > 0
-    return rows.filter(known).select(
-        "race_id", "driver_name",
-        truthy_or(finish, DEFAULT_FINISH).alias("hist_avg_finish"),
-        truthy_or(run, DEFAULT_FINISH).alias("hist_avg_running"),
-        F.col("st_races").cast("bigint").alias("same_track_races"),
-        F.col("ty_races").cast("bigint").alias("same_type_races"),
-        F.col("all_races").cast("bigint").alias("all_track_races"),
-    )
+    return truthy_or(finish, DEFAULT_FINISH), truthy_or(run, DEFAULT_FINISH)
 
 
 def _blend(same: Column, kind_or_all: Column, kind: Column, anywhere: Column) -> Column:

@@ -216,29 +216,106 @@ def _(t):
     return out.select("pitcher_id", "pitch_type_code", "season", *[s.half_up(z, 5).alias(z) for z in _Z.values()])
 
 
-@query("m11_ridge_models")
+_ROWS = (
+    "zf AS (SELECT *, " + ", ".join(f"({c} - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0) AS x{i}" for i, c in enumerate(_Z, 1))
+    + " FROM (SELECT *, 1 / (coalesce(std_x0, 0.1) + coalesce(std_z0, 0.1) + 0.01) AS rc FROM feats) WINDOW w AS (PARTITION BY pitch_type_code)), "
+    "fr AS (SELECT *, csw_rate AS y, ntile(5) OVER (PARTITION BY pitch_type_code ORDER BY season, pitcher_id) - 1 AS fold FROM zf WHERE "
+    + " AND ".join(f"x{i} IS NOT NULL" for i in range(1, 7)) + " AND csw_rate IS NOT NULL)"
+)
+
+
+def _ridge(key: str, train: str, alpha: float = 5.0) -> str:
+    """SQL for the regression of each group: standardise, add the penalty to the
+    normal equations and eliminate one unknown at a time."""
+    ids = range(1, 7)
+    parts = [
+        f"st AS (SELECT {key}, count(*) AS n, avg(y) AS my, " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in ids) + f" FROM {train} GROUP BY {key})",
+        f"zz AS (SELECT {key}, " + ", ".join(f"(x{i} - m{i}) / s{i} AS z{i}" for i in ids) + f", y - my AS c FROM {train} JOIN st USING ({key}))",
+        f"e0 AS (SELECT {key}, [" + ", ".join(
+            "[" + ", ".join([f"sum(z{i} * z{j})" + (f" + {alpha}" if i == j else "") for j in ids] + [f"sum(z{i} * c)"]) + "]" for i in ids
+        ) + f"] AS m FROM zz GROUP BY {key})",
+    ]
+    for k in ids:
+        parts.append(
+            f"e{k} AS (SELECT {key}, [" + ", ".join(
+                "[" + ", ".join(
+                    f"m[{k}][{j}] / m[{k}][{k}]" if i == k else f"m[{i}][{j}] - m[{i}][{k}] * m[{k}][{j}] / m[{k}][{k}]" for j in range(1, 8)
+                ) + "]" for i in ids
+            ) + f"] AS m FROM e{k - 1})"
+        )
+    parts.append(
+        f"mdl AS (SELECT {key}, n, my, " + ", ".join(f"m[{i}][7] / s{i} AS w{i}" for i in ids)
+        + ", my - (" + " + ".join(f"m[{i}][7] / s{i} * m{i}" for i in ids) + f") AS b FROM e6 JOIN st USING ({key}))"
+    )
+    return ", ".join(parts)
+
+
+_PRED = "b + " + " + ".join(f"w{i} * x{i}" for i in range(1, 7))
+_BIG = "tr AS (SELECT *, pitch_type_code AS g FROM fr WHERE pitch_type_code IN (SELECT pitch_type_code FROM fr GROUP BY pitch_type_code HAVING count(*) >= 30))"
+_MODELS = ", ".join([_FEATS, _ROWS, _BIG, _ridge("g", "tr")])
+
+
+def _r2(eval_rows: str) -> str:
+    return f"SELECT g, count(*) AS n, 1 - sum(pow(y - ({_PRED}), 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM {eval_rows} JOIN mdl USING (g) GROUP BY g"
+
+
+_SCORES = (
+    "SELECT pitcher_id, pitch_type_code AS pitch_type, season, pitches, "
+    f"{r('(' + _PRED + ') / my * 100', 1)} AS stuff_plus, {r(_PRED, 6)} AS predicted_csw, "
+    + ", ".join(f"{r(c, 6)} AS {c}" for c in ("csw_rate", "avg_velo", "avg_spin", "avg_hmov", "avg_vmov", "whiff_rate"))
+    + " FROM zf JOIN mdl ON mdl.g = zf.pitch_type_code WHERE " + " AND ".join(f"x{i} IS NOT NULL" for i in range(1, 7))
+)
+
+
+@query("m11_ridge_models", with_views(
+    PITCH_VIEWS,
+    f"SELECT m.g AS pitch_type_code, m.n, {r('my', 6)} AS league_csw, {r('b', 6)} AS intercept, "
+    + ", ".join(f"{r(f'w{i}', 6)} AS w_{c}" for i, c in enumerate(stuff.FEATURES, 1)) + f", {r('r2', 6)} AS train_r2 FROM mdl m JOIN ({_r2('tr')}) q ON q.g = m.g", _MODELS))
 def _(t):
     return six(stuff.fit_ridge(stuff.engineer(features(t))), "league_csw", "intercept", *[f"w_{c}" for c in stuff.FEATURES], "train_r2")
 
 
-@query("m11_stuff_scores")
+_SHOWN = ["predicted_csw", "csw_rate", "avg_velo", "avg_spin", "avg_hmov", "avg_vmov", "whiff_rate"]
+
+
+@query("m11_stuff_scores", with_views(PITCH_VIEWS, _SCORES, _MODELS))
 def _(t):
     f = stuff.engineer(features(t))
-    return six(stuff.score_ridge(f, stuff.fit_ridge(f)), "predicted_csw", "csw_rate", "avg_velo", "avg_spin", "avg_hmov", "avg_vmov", "whiff_rate")
+    return six(stuff.score_ridge(f, stuff.fit_ridge(f)), *_SHOWN)
 
 
-@query("l03_top_stuff_scores")
+@query("l03_top_stuff_scores", with_views(
+    PITCH_VIEWS, f"SELECT * FROM ({_SCORES}) ORDER BY stuff_plus DESC NULLS FIRST, pitches DESC, pitcher_id, pitch_type, season LIMIT 20", _MODELS))
 def _(t):
     f = stuff.engineer(features(t))
-    return six(stuff.top_scores(stuff.score_ridge(f, stuff.fit_ridge(f))), "predicted_csw", "csw_rate", "avg_velo", "avg_spin", "avg_hmov", "avg_vmov", "whiff_rate")
+    return six(stuff.top_scores(stuff.score_ridge(f, stuff.fit_ridge(f))), *_SHOWN)
+
+
+_HELD = ", ".join([
+    _FEATS, _ROWS, _BIG.replace("tr AS", "big AS").replace(", pitch_type_code AS g", ""),
+    "tr AS (SELECT b.* EXCLUDE (fold), concat(pitch_type_code, '|fold ', CAST(h.f AS STRING)) AS g FROM big b JOIN (SELECT unnest(range(0, 5)) AS f) h ON h.f <> b.fold)",
+    "ev AS (SELECT *, concat(pitch_type_code, '|fold ', CAST(fold AS STRING)) AS g FROM big)", _ridge("g", "tr"),
+])
+_PARTS = f"SELECT split_part(g, '|', 1) AS pitch_type_code, split_part(g, '|', 2) AS part, n, {r('r2', 6)} AS r2 FROM ({_r2('ev')})"
 
 
-@query("m11_cross_validation")
+@query("m11_cross_validation", with_views(PITCH_VIEWS, _PARTS, _HELD))
 def _(t):
     return six(stuff.ridge_r2(stuff.engineer(features(t)), "folds"), "r2")
 
 
-@query("j14_cross_season_r2")
+_COMMON = ", ".join([
+    _FEATS, _ROWS, _BIG.replace("tr AS", "big AS").replace(", pitch_type_code AS g", ""),
+    "nx AS (SELECT pitch_type_code, season, lead(season) OVER (PARTITION BY pitch_type_code ORDER BY season) AS nxt FROM (SELECT DISTINCT pitch_type_code, season FROM big))",
+    "cm AS (SELECT a.pitch_type_code, a.pitcher_id, a.season, n.nxt, concat(a.pitch_type_code, '|', CAST(a.season AS STRING), ' to ', CAST(n.nxt AS STRING)) AS g "
+    "FROM big a JOIN nx n ON n.pitch_type_code = a.pitch_type_code AND n.season = a.season JOIN big b ON b.pitch_type_code = a.pitch_type_code AND b.pitcher_id = a.pitcher_id AND b.season = n.nxt "
+    "QUALIFY count(*) OVER (PARTITION BY a.pitch_type_code, a.season) >= 20)",
+    "tr AS (SELECT b.*, c.g FROM big b JOIN cm c ON c.pitch_type_code = b.pitch_type_code AND c.pitcher_id = b.pitcher_id AND c.season = b.season)",
+    "ev AS (SELECT b.*, c.g FROM big b JOIN cm c ON c.pitch_type_code = b.pitch_type_code AND c.pitcher_id = b.pitcher_id AND c.nxt = b.season)", _ridge("g", "tr"),
+])
+
+
+@query("j14_cross_season_r2", with_views(PITCH_VIEWS, _PARTS, _COMMON))
 def _(t):
     return six(stuff.ridge_r2(stuff.engineer(features(t)), "seasons"), "r2")
 

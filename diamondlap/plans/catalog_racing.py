@@ -133,6 +133,14 @@ def _(t):
     return six(racing.history_blend(entries(t), t.results, t.races), "hist_avg_finish", "hist_avg_running")
 
 
+@query("j05_race_history_full_outer", with_views(
+    ["races", "results"],
+    f"SELECT race_id, driver_name, {r('hist_avg_finish', 6)} AS hist_avg_finish, {r('hist_avg_running', 6)} AS hist_avg_running, "
+    "same_track_races, same_type_races, all_track_races FROM hist WHERE race_id = 15", _HISTORY))
+def _(t):
+    return six(racing.race_history(t.results, t.races, 15), "hist_avg_finish", "hist_avg_running")
+
+
 _VARIANCE = (
     f"var AS (SELECT race_id, driver_name, {r('stddev_samp(last_lap_speed)', 3)} AS speed_stddev, {r('avg(last_lap_speed)', 3)} AS speed_avg, "
     f"{n('count(*)')} AS lap_samples FROM live_snapshots WHERE last_lap_speed > 0 AND lap > 5 GROUP BY race_id, driver_name)"
