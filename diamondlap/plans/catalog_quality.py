@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from diamondlap.functions import groups, scalars as s
+from diamondlap.functions import codes, groups, scalars as s
 from diamondlap.operators import marcel as mc, quality as q, serve, stuff, validation
 from diamondlap.plans import documents as docs
 from diamondlap.plans.catalog_matchup import _corr
@@ -320,7 +322,18 @@ def _(t):
     return six(stuff.ridge_r2(stuff.engineer(features(t)), "seasons"), "r2")
 
 
-@query("m11_evaluation")
+def _apart(ctes: str, tag: str) -> str:
+    """The same chain under names of its own, without the shared first part."""
+    own = ctes.removeprefix(f"{_FEATS}, {_ROWS}, ")
+    return re.sub(r"\b(tr|ev|st|zz|e[0-6]|mdl|nx|cm|big)\b", rf"\1_{tag}", own)
+
+
+@query("m11_evaluation", with_views(
+    PITCH_VIEWS,
+    f"SELECT g AS pitch_type_code, n, {r('train_r2', 6)} AS train_r2, {r('cv', 6)} AS cv_r2, {r('cs', 6)} AS cv_r2_std, {r('se', 6)} AS cross_season_r2 FROM "
+    f"(SELECT g, n, r2 AS train_r2 FROM ({_r2('tr')})) JOIN (SELECT split_part(g, '|', 1) AS g, avg(r2) AS cv, stddev_pop(r2) AS cs FROM ({_apart(_r2('ev'), 'f')}) GROUP BY 1) USING (g) "
+    f"LEFT JOIN (SELECT split_part(g, '|', 1) AS g, avg(r2) AS se FROM ({_apart(_r2('ev'), 's')}) GROUP BY 1) USING (g)",
+    ", ".join([_MODELS, _apart(_HELD, "f"), _apart(_COMMON, "s")])))
 def _(t):
     f = stuff.engineer(features(t))
     return six(stuff.evaluate(f, stuff.fit_ridge(f)), "cv_r2", "cv_r2_std", "cross_season_r2", "train_r2").select(
@@ -359,6 +372,43 @@ def _(t):
     return _validate(t, 1)
 
 
+# --- predicates ------------------------------------------------------------------------
+
+@query("p01_membership", with_views(
+    ["pitches"],
+    f"SELECT pitch_type_code, {n('count(*)')} AS pitches, {n(f'sum(CASE WHEN call_code NOT IN {SWING} THEN 1 ELSE 0 END)')} AS takes FROM pitches WHERE pitch_type_code IN {TYPES} GROUP BY pitch_type_code"))
+def _(t):
+    takes = s.count_if(~F.col("call_code").isin(*codes.SWING))
+    return t.pitches.filter(F.col("pitch_type_code").isin(*codes.PITCH_TYPES)).groupBy("pitch_type_code").agg(
+        F.count(F.lit(1)).cast("bigint").alias("pitches"), takes.alias("takes")
+    )
+
+
+@query("p02_in_and_out_of_zone", with_views(
+    ["pitches"],
+    f"SELECT pitcher_id, {n('sum(CASE WHEN zone BETWEEN 1 AND 9 THEN 1 ELSE 0 END)')} AS inside, {n('sum(CASE WHEN zone NOT BETWEEN 1 AND 9 THEN 1 ELSE 0 END)')} AS outside, "
+    f"{n('count(*) - count(zone)')} AS unknown FROM pitches GROUP BY pitcher_id"))
+def _(t):
+    return t.pitches.groupBy("pitcher_id").agg(
+        s.count_if(s.in_zone("zone")).alias("inside"), s.count_if(~s.in_zone("zone")).alias("outside"),
+        s.count_if(F.col("zone").isNull()).alias("unknown"),
+    )
+
+
+@query("p05_names_without_accents", with_views(
+    ["at_bats"], f"SELECT pitcher_name, {n('count(*)')} AS n FROM at_bats WHERE contains(lower(strip_accents(pitcher_name)), 'angel p') GROUP BY pitcher_name"))
+def _(t):
+    return t.at_bats.filter(s.match_unaccented("pitcher_name", "ÀNGEL p")).groupBy("pitcher_name").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("p12_guards", with_views(
+    ["results", "races"],
+    f"SELECT r.season, {n('count(*)')} AS n FROM results x JOIN races r ON r.race_id = x.race_id WHERE x.finish_position > 0 AND x.race_id <> 5 AND r.season >= 2023 GROUP BY r.season"))
+def _(t):
+    kept = t.results.filter((F.col("finish_position") > 0) & (F.col("race_id") != 5)).drop("season")
+    return kept.join(t.races.filter("season >= 2023").select("race_id", "season"), "race_id").groupBy("season").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 # --- set operations ------------------------------------------------------------------
 
 @query("u01_union_by_name", with_views(
