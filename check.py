@@ -1,6 +1,6 @@
 """Run registered queries next to their check SQL and compare the results.
 
-    python check.py [--sf 0.01] [--only NAME_PART ...]
+    python check.py [--sf 0.01] [--only NAME_PART ...] [--plain]
 """
 
 from __future__ import annotations
@@ -18,9 +18,13 @@ TABLES = (
 ).split()
 
 
-def session(cpus: str = "8"):
+def session(cpus: str = "8", plain: bool = False):
     from pyspark.sql import SparkSession
 
+    if plain:  # Spark's own defaults
+        spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+        return spark
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("diamondlap")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
@@ -77,9 +81,10 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--only", nargs="*")
+    ap.add_argument("--plain", action="store_true", help="use Spark's default settings")
     args = ap.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
-    spark, con = session(), connect(sf_dir)
+    spark, con = session(plain=args.plain), connect(sf_dir)
     bad = 0
     for name in QUERIES:
         if args.only and not any(o in name for o in args.only):
