@@ -6,6 +6,7 @@ however many games or races they hold.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,9 +25,11 @@ def table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     return sinks.read_table(spark, f"{warehouse}/{name}", schema)
 
 
-def mlb_daily(spark: SparkSession, landing_dir: str, warehouse: str, run: int = 0) -> DataFrame:
+def mlb_daily(spark: SparkSession, landing_dir: str, warehouse: str, run: int | None = None) -> DataFrame:
     """Land a folder of game documents, refresh the tables of changed games and
-    return the verdict per day of those games. `run` numbers the job's reports."""
+    return the verdict per day of those games. Repeating a failed job under its
+    `run` number takes up where it stopped; by default every call is a new run."""
+    run = time.time_ns() if run is None else run
     docs = landing.read_documents(spark, landing_dir)
     docs = docs.withColumn("game_pk", F.get_json_object("data", "$.gamePk").try_cast("int"))
     taken = live.store_games(docs.select("game_pk", "data", "fetched_at"), run, warehouse)

@@ -45,8 +45,8 @@ def game_header(new: DataFrame) -> DataFrame:
 
 
 def _newest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Newest document per key; equal times fall back to the text itself."""
-    return first_per_key(df, keys, [F.col("fetched_at").desc_nulls_last(), F.md5("data")])
+    """Newest document per key; equal times fall back to a hash of the text."""
+    return first_per_key(df, keys, [F.col("fetched_at").desc_nulls_last(), F.xxhash64("data")])
 
 
 def land_games(new: DataFrame, existing: DataFrame, skip_final: bool = True) -> tuple[DataFrame, DataFrame]:

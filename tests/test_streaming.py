@@ -93,6 +93,19 @@ def test_game_stream_scores_once_and_keeps_first_projection(spark, tmp_path, ref
     assert sorted((r["game_pk"], r["batter_id"], r["batting_order"], r["epoch"]) for r in projections.collect()) == [(1, 21, 1, 0), (1, 22, 2, 0)]
 
 
+def test_repeated_batch_finishes_what_a_lost_one_began(spark, tmp_path, reference):
+    """The driver dies after the documents were stored but before flattening."""
+    out = str(tmp_path / "out")
+    batch = spark.createDataFrame([(1, game(1, "Final", "SX"), "2024-05-01 20:00:00")], "game_pk INT, data STRING, fetched_at STRING")
+    batch = batch.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    live.store_games(batch, 0, out, buckets=2)
+    for _ in range(2):
+        live.game_batch(batch, 0, out, reference, buckets=2)
+    assert spark.read.parquet(f"{out}/pitches").count() == 2
+    assert spark.read.parquet(f"{out}/scores").count() == 1
+    assert [r["action"] for r in spark.read.parquet(f"{out}/report").collect()] == ["inserted"]
+
+
 def test_batch_jobs(spark, tmp_path):
     landing, house = tmp_path / "landing", str(tmp_path / "house")
     landing.mkdir()
