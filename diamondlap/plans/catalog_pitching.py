@@ -88,14 +88,20 @@ def _weight(src: str) -> str:
     )
 
 
+def _bonus(edge: str) -> str:
+    """Without a league rate the bonus is unknown; greatest() alone would read
+    the missing edge as zero."""
+    return f"(1 + CASE WHEN ({edge}) IS NULL THEN NULL ELSE greatest(0, {edge}) END)"
+
+
 def _value(weight: str, whiff: str, chase: str, hard: str) -> str:
     return (
-        f"CASE WHEN v.call_code IN {WHIFF} THEN 0.170 * (1 + greatest(0, {whiff})) "
-        f"WHEN v.call_code = 'C' THEN 0.025 * (1 + greatest(0, {chase})) "
+        f"CASE WHEN v.call_code IN {WHIFF} THEN 0.170 * {_bonus(whiff)} "
+        f"WHEN v.call_code = 'C' THEN 0.025 * {_bonus(chase)} "
         "WHEN v.call_code IN ('F','D','E','L') THEN 0.020 WHEN v.call_code IN ('B','*B','H') THEN -0.040 "
         f"WHEN v.call_code = 'X' THEN -({weight}) * CASE "
         "WHEN v.launch_speed >= 95 AND v.event_type IN ('single','double','triple','home_run') "
-        f"THEN 1 + greatest(0, {hard}) WHEN v.launch_speed >= 95 THEN 0.5 "
+        f"THEN {_bonus(hard)} WHEN v.launch_speed >= 95 THEN 0.5 "
         "WHEN v.launch_speed < 85 THEN 0.85 ELSE 1.0 END "
         "WHEN v.call_code = 'M' THEN -0.150 ELSE 0.0 END"
     )
