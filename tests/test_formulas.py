@@ -304,3 +304,19 @@ def test_game_log_side_and_search(spark):
 def test_linear_weights_default(spark):
     got = {r["season"]: r["weight_hr"] for r in td.linear_weights(spark, [2023, 1999]).collect()}
     assert got == {2023: 2.101, 1999: codes.LINEAR_WEIGHTS[2024][6]}
+
+
+def test_a_hot_batter_and_game_keep_every_row(spark):
+    """A third of all pitches fall to one at-bat of one game."""
+    n = 3000
+    p = spark.range(n).selectExpr(
+        "CAST(IF(id % 3 = 0, 0, id % 50) AS INT) AS game_pk", "CAST(IF(id % 3 = 0, 0, id % 4) AS INT) AS at_bat_index", "1 AS pitcher_id", "'FF' AS pitch_type_code",
+        "IF(id % 2 = 0, 'S', 'X') AS call_code", "id % 2 = 1 AS is_in_play", "100D AS launch_speed", "28D AS launch_angle", "CAST(id % 14 + 1 AS INT) AS zone",
+    )
+    ab = spark.range(200).selectExpr("CAST(id % 50 AS INT) AS game_pk", "CAST(floor(id / 50) AS INT) AS at_bat_index", "CAST(IF(id = 0, 0, 1 + id % 3) AS INT) AS batter_id")
+    g = spark.range(50).selectExpr("CAST(id AS INT) AS game_pk", "'R' AS game_type", "2024 AS season")
+    got = {r["batter_id"]: r["pitches_faced"] for r in td.pitch_type_tendencies(p, ab, g, min_pitches=1).collect()}
+    pdf = p.toPandas().merge(ab.toPandas(), on=["game_pk", "at_bat_index"])
+    assert got == pdf.groupby("batter_id").size().to_dict() and sum(got.values()) == n
+    zones = td.zone_tendencies(p, ab, g, min_pitches=1).groupBy().sum("pitches_faced").first()[0]
+    assert zones == n
