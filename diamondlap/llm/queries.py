@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import language_id
+from diamondlap.llm import chat, language_id, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -11,3 +11,27 @@ __all__ = ["ORACLE", "QUERIES"]
 @query("op9_language_id")
 def op9(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_url_filter",
+    """
+    WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    cut AS (SELECT row_number() OVER () AS k, page_id,
+                   CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    urls AS (SELECT k, page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM cut),
+    fit AS (SELECT urls.*, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC) AS n
+            FROM urls LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit WHERE n = 1
+    """,
+)
+def op3(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.example_rules(pages))
+
+
+@query("op10_chat_format")
+def op10(spark, sf_dir):
+    return chat.format_and_read(table(spark, sf_dir, "conversations"))
