@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import chat, language_id, url_filter
+from diamondlap.llm import chat, language_id, secret_scan, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -35,3 +35,8 @@ def op3(spark, sf_dir):
 @query("op10_chat_format")
 def op10(spark, sf_dir):
     return chat.format_and_read(table(spark, sf_dir, "conversations"))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
