@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import chat, language_id, secret_scan, url_filter
+from diamondlap.llm import bpe, chat, language_id, secret_scan, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -40,3 +40,8 @@ def op10(spark, sf_dir):
 @query("op8_secret_scan")
 def op8(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op2_byte_bpe")
+def op2(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
