@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import bpe, chat, language_id, secret_scan, url_filter
+from diamondlap.llm import bpe, chat, decontamination, language_id, secret_scan, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -45,3 +45,8 @@ def op8(spark, sf_dir):
 @query("op2_byte_bpe")
 def op2(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontamination")
+def op1(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
