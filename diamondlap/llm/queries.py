@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import bpe, chat, decontamination, language_id, secret_scan, url_filter
+from diamondlap.llm import bpe, chat, decontamination, language_id, ngram_join, secret_scan, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -50,3 +50,8 @@ def op2(spark, sf_dir):
 @query("op1_decontamination")
 def op1(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark, sf_dir):
+    return ngram_join.join_similar(table(spark, sf_dir, "documents"))
