@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import bpe, chat, decontamination, language_id, ngram_join, secret_scan, url_filter
+from diamondlap.llm import bpe, chat, decontamination, embedding_dedup, language_id, ngram_join, secret_scan, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -55,3 +55,8 @@ def op1(spark, sf_dir):
 @query("op7_ngram_jaccard_join")
 def op7(spark, sf_dir):
     return ngram_join.join_similar(table(spark, sf_dir, "documents"))
+
+
+@query("op6_embedding_dedup")
+def op6(spark, sf_dir):
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
