@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import bpe, chat, decontamination, embedding_dedup, language_id, ngram_join, secret_scan, url_filter
+from diamondlap.llm import bpe, chat, decontamination, embedding_dedup, language_id, lm_score, ngram_join, secret_scan, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -60,3 +60,8 @@ def op7(spark, sf_dir):
 @query("op6_embedding_dedup")
 def op6(spark, sf_dir):
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_lm_score")
+def op4(spark, sf_dir):
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
