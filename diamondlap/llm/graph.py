@@ -36,8 +36,8 @@ def dealt(rows: DataFrame, key: str, node: str, limit: int) -> DataFrame:
     return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", node)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, int, int]]:
-    """(rows, first, end) of every run of two or more rows with equal keys in sorted batches."""
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 2) -> Iterator[tuple[pa.RecordBatch, int, int]]:
+    """(rows, first, end) of every run of `least` or more rows with equal keys in sorted batches."""
     held = None
 
     def runs(rows: pa.RecordBatch, last: bool):
@@ -47,7 +47,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
             change |= c[1:] != c[:-1]
         bounds = np.concatenate(([0], np.flatnonzero(change) + 1, [rows.num_rows]))
         done = len(bounds) - 1 - (not last)
-        many = np.flatnonzero(np.diff(bounds[: done + 1]) > 1) if done > 0 else []
+        many = np.flatnonzero(np.diff(bounds[: done + 1]) >= least) if done > 0 else []
         return [(rows, int(bounds[k]), int(bounds[k + 1])) for k in many], int(bounds[done]) if done >= 0 else 0
 
     for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diamondlap.llm import bpe, chat, decontamination, embedding_dedup, language_id, lm_score, ngram_join, secret_scan, url_filter
+from diamondlap.llm import bpe, chat, decontamination, embedding_dedup, language_id, lm_score, ngram_join, secret_scan, suffix_dedup, url_filter
 from diamondlap.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -65,3 +65,8 @@ def op6(spark, sf_dir):
 @query("op4_lm_score")
 def op4(spark, sf_dir):
     return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
