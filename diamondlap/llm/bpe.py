@@ -26,6 +26,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import public_tokenizers
 import pyarrow as pa
@@ -85,6 +86,8 @@ class Encoder:
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Plain merging: the pair of lowest rank, the leftmost of equal ones, until none has a rank."""
+        if len(piece) > 2 * self.leaf:
+            return self._merge_queued(piece)
         ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
         pairs = [ranks.get(piece[i : i + 2]) for i in range(len(piece) - 1)]
         while True:
@@ -101,6 +104,33 @@ class Encoder:
             if at:
                 pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
 
+    def _merge_queued(self, piece: bytes) -> list[bytes]:
+        """merge() with the pairs in a queue by rank and place."""
+        ranks, n = self.ranks, len(piece)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        queue = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2])) is not None]
+        heapify(queue)
+        while queue:
+            _, i, end = heappop(queue)
+            middle = after[i]
+            if middle >= n or middle < 0 or after[middle] != end:
+                continue  # one of the two is gone or longer by now
+            after[i], after[middle] = end, -1
+            if end < n:
+                before[end] = i
+                rank = ranks.get(piece[i : after[end]])
+                if rank is not None:
+                    heappush(queue, (rank, i, after[end]))
+            if i:
+                rank = ranks.get(piece[before[i] : end])
+                if rank is not None:
+                    heappush(queue, (rank, before[i], end))
+        parts, i = [], 0
+        while i < n:
+            parts.append(piece[i : after[i]])
+            i = after[i]
+        return parts
+
     def keeps(self, left: bytes, right: bytes) -> bool:
         """Whether these two neighbours encode to themselves."""
         found = self.stable.get((left, right))
@@ -120,7 +150,7 @@ class Encoder:
             if not head and tail == len(right):
                 return self.merge(b"".join(left + right)) if not self.keeps(left[-1], right[0]) else left + right
             window = b"".join(left[head:] + right[:tail])
-            middle = self.tree(window) if len(window) > self.leaf and width > self.seam else self.merge(window)
+            middle = self.merge(window)
             if (not head or self.keeps(left[head - 1], middle[0])) and (tail == len(right) or self.keeps(middle[-1], right[tail])):
                 return left[:head] + middle + right[tail:]
             width *= 2
