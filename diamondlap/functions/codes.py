@@ -45,8 +45,6 @@ DEFAULT_WEIGHT_SEASON = 2024
 LIVE_WEIGHT_SEASON = 2023
 
 # Years a season can have; tables of one row per season stay within them.
-FIRST_SEASON = 1871
-LAST_SEASON = 2100
 
 # --- fixed values: batted-ball event -> (weight column, factor) -------------
 EVENT_WEIGHT = {

@@ -84,45 +84,26 @@ def latest(df: DataFrame, by, ts: str) -> DataFrame:
     return df.join(newest, [*by, ts], "left_semi")
 
 
-def rank_in_group(
-    df: DataFrame,
-    by,
-    order: Sequence[Column],
-    spread: ColumnOrName,
-    out: str = "rank",
-    rows_per_slice: int = 250_000,
-) -> DataFrame:
-    """Exact row_number per group, with large groups sorted in slices.
-
-    `spread` is a non-null number that never decreases along `order`. A group
-    above rows_per_slice is cut into equal-width slices of it, each slice is
-    numbered on its own, and the sizes of the slices before it are added.
+def rank_in_group(df: DataFrame, by, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """Exact row_number per group, of any size.
+
+    All rows are sorted by range into slices of even size, whatever groups they
+    belong to; each group is numbered within each slice, and the rows it has in
+    the slices before are added. Groups bounded by nature (a race field) are
+    better numbered by a plain window.
     """
     by = _names(by)
-    placed = df.withColumn("__at", as_col(spread).cast("double"))
-    bounds = placed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi")
-    )
-    slices = F.ceil(F.col("__n") / F.lit(float(rows_per_slice)))
-    width = F.col("__hi") - F.col("__lo")
-    placed = join_back(placed, bounds, by).withColumn(
-        "__slice",
-        F.when(
-            (slices > 1) & (width > 0),
-            F.least(F.floor((F.col("__at") - F.col("__lo")) / F.nullif(width, F.lit(0.0)) * slices), slices - 1),
-        ).otherwise(F.lit(0)).cast("bigint"),
-    )
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that both readers see the same slices
+    placed = df.repartitionByRange(slices, *by, *order).withColumn("__slice", F.spark_partition_id())
     sizes = placed.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__m"))
     earlier = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *by, "__slice", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__before")
-    )
+    offsets = sizes.select(*by, "__slice", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*by, "__slice").orderBy(*order)
     numbered = placed.withColumn("__in", F.row_number().over(inside))
     return (
         join_back(numbered, offsets, [*by, "__slice"])
         .withColumn(out, (F.col("__before") + F.col("__in")).cast("int"))
-        .drop("__at", "__n", "__lo", "__hi", "__slice", "__before", "__in")
+        .drop("__slice", "__before", "__in")
     )
 
 

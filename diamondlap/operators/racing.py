@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diamondlap.functions import codes
 from diamondlap.functions.groups import (
-    field_stats, first_per_key, index_to_max, join_back, latest, lookup_fallback, rank_in_group,
+    field_stats, first_per_key, index_to_max, join_back, latest, lookup_fallback,
 )
 from diamondlap.functions.scalars import all_of, half_up, match_text, truthy_or
 
@@ -329,10 +329,8 @@ def live_projection(
     ) + tyres
     score = F.greatest(F.lit(1.0), F.least(F.col("field_size").cast("double"), score))
     rows = rows.withColumn("projected_score", half_up(score, 1))
-    ranked = rank_in_group(
-        rows, "race_id", [F.col("projected_score"), F.col("current_position"), F.col("driver_name")],
-        F.col("projected_score") * 1e9 + F.col("current_position"), out="projected_finish",
-    )
+    field = Window.partitionBy("race_id").orderBy("projected_score", "current_position", "driver_name")  # a few dozen cars
+    ranked = rows.withColumn("projected_finish", F.row_number().over(field))
     return ranked.select(
         "race_id", "track_name", "track_type", "snapshot_at", "lap", F.col("race_laps").alias("total_laps"),
         half_up(p * 100, 1).alias("race_pct"),

@@ -192,8 +192,7 @@ def with_folds(features: DataFrame, folds: int = FOLDS) -> DataFrame:
     at most one, the larger ones first."""
     rows = _usable(features)
     order = [F.col("season"), F.col("pitcher_id")]
-    spread = F.col("season").cast("double") * 1e10 + F.col("pitcher_id")
-    ranked = rank_in_group(rows, "pitch_type_code", order, spread, out="__r")
+    ranked = rank_in_group(rows, "pitch_type_code", order, out="__r")
     sizes = rows.groupBy("pitch_type_code").agg(F.count(F.lit(1)).alias("__n"))
     at, small, extra = F.col("__r") - 1, F.floor(F.col("__n") / folds), F.col("__n") % folds
     in_large = at < extra * (small + 1)

@@ -171,20 +171,15 @@ def linear_weights(spark: SparkSession, seasons: Sequence[int] = tuple(codes.LIN
     return spark.createDataFrame(rows, schema)
 
 
-def season_weights(weights: DataFrame, first: int = codes.FIRST_SEASON, last: int = codes.LAST_SEASON) -> DataFrame:
-    """One weight row for every season there can be; seasons without their own
-    take the default season's. A few hundred rows, so always fit to broadcast."""
-    seasons = weights.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("season"))
-    own = weights.select("season", F.struct(*codes.WEIGHT_COLUMNS).alias("__own"))
-    fallback = weights.filter(F.col("season") == codes.DEFAULT_WEIGHT_SEASON).agg(
-        F.first(F.struct(*codes.WEIGHT_COLUMNS)).alias("__default")
+def with_season_weights(df: DataFrame, weights: DataFrame, season_col: str = "season") -> DataFrame:
+    """Attach the weight columns of each row's season; any season without its own
+    takes the default season's. Both joins are with the few weight rows."""
+    own = F.broadcast(weights.select(F.col("season").alias("__season"), F.struct(*codes.WEIGHT_COLUMNS).alias("__own")))
+    fallback = own.filter(F.col("__season") == codes.DEFAULT_WEIGHT_SEASON).select(
+        F.col("__season").alias("__default_season"), F.col("__own").alias("__default")
     )
-    rows = join_back(seasons.join(F.broadcast(own), "season", "left"), fallback, ())
+    rows = df.withColumn("__wanted", F.lit(codes.DEFAULT_WEIGHT_SEASON))
+    rows = rows.join(own, F.col(season_col) == F.col("__season"), "left")
+    rows = rows.join(F.broadcast(fallback), F.col("__wanted") == F.col("__default_season"), "left")
     chosen = F.coalesce("__own", "__default")
-    return rows.select("season", *[chosen[c].alias(c) for c in codes.WEIGHT_COLUMNS])
-
-
-def with_season_weights(df: DataFrame, weights: DataFrame, season_col: str = "season") -> DataFrame:
-    """Attach the weight columns of each row's season."""
-    table = season_weights(weights).withColumnRenamed("season", "__season")
-    return df.join(F.broadcast(table), F.col(season_col) == F.col("__season"), "left").drop("__season")
+    return rows.select(*df.columns, *[chosen[c].alias(c) for c in codes.WEIGHT_COLUMNS])

@@ -226,6 +226,16 @@ def _(t):
     return td.with_season_weights(t.games.select("season").distinct(), td.linear_weights(t.spark))
 
 
+@query("s13_weights_of_any_season", with_views(
+    ["games"],
+    "SELECT s.season, " + ", ".join(f"w.{c}" for c in _W) + " FROM (SELECT DISTINCT CAST(season + 100 AS INT) AS season FROM games) s "
+    "JOIN lw w ON w.season = 2024", LW))
+def _(t):
+    """Seasons far from those with weights of their own."""
+    seasons = t.games.select((F.col("season") + 100).cast("int").alias("season")).distinct()
+    return td.with_season_weights(seasons, td.linear_weights(t.spark))
+
+
 @query("m01_pitch_value", with_views(
     PITCH_VIEWS,
     f"SELECT game_pk, pitcher_id, batter_id, pitch_type_code, call_code, event_type, {r('value', 6)} AS value FROM valued",

@@ -251,10 +251,8 @@ def _(t):
     ["laps"],
     "SELECT race_id, driver_id, lap_number, lap_speed, CAST(row_number() OVER (PARTITION BY race_id ORDER BY lap_speed, driver_id, lap_number) AS INT) AS place FROM laps"))
 def _(t):
-    # A small slice size sends every race through the sliced path.
     return groups.rank_in_group(
-        t.laps, "race_id", [F.col("lap_speed"), F.col("driver_id"), F.col("lap_number")], "lap_speed",
-        out="place", rows_per_slice=50,
+        t.laps, "race_id", [F.col("lap_speed"), F.col("driver_id"), F.col("lap_number")], out="place",
     ).select("race_id", "driver_id", "lap_number", "lap_speed", "place")
 
 

@@ -11,10 +11,8 @@ from diamondlap.plans.tables import Tables
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Writing JSON is slow work per row, so an input that comes in fewer pieces
-    than there are cores is dealt out first; a large input never is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Writing JSON is slow work per row, so the narrow rows are dealt out first."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _json(expr: str):

@@ -32,7 +32,9 @@ EVENT = (
     "WHEN 3 THEN 'field_out' WHEN 4 THEN 'sac_fly' WHEN 5 THEN 'strikeout' WHEN 6 THEN 'triple' "
     "ELSE 'grounded_into_double_play' END"
 )
+LISTED = f"CASE l_returnflag WHEN 'N' THEN -1 - {BATTER} ELSE {BATTER} END"  # others stand for players no at-bat has
 DRIVER = "user_id % 40"
+RATED = f"CASE event_type WHEN 'signup' THEN -1 - {DRIVER} ELSE {DRIVER} END"
 RACE = "CAST(dayofyear(ts) AS INT)"
 SERIES = "CASE WHEN dayofyear(ts) % 5 = 0 THEN 2 ELSE 1 END"
 DRIVER_NAME = f"concat('Driver ', CAST({DRIVER} AS STRING))"
@@ -45,12 +47,9 @@ class View:
     source: str
     columns: tuple[str, ...]
     group_by: tuple[str, ...] = ()
-    where: str | None = None
 
     def sql(self) -> str:
         text = f"SELECT {', '.join(self.columns)} FROM {self.source}"
-        if self.where:
-            text += f" WHERE {self.where}"
         if self.group_by:
             text += f" GROUP BY {', '.join(self.group_by)}"
         return text
@@ -104,9 +103,11 @@ VIEWS: dict[str, View] = {
         "CASE WHEN min(l_suppkey) % 2 = 0 THEN 'top' ELSE 'bottom' END AS half_inning",
         "CAST(min(l_partkey) % 4 AS INT) AS runs",
     ), ("l_orderkey", "l_linenumber")),
+    # Games of other rows have no partner, which leaves gaps without leaving out rows.
     "runners": View("lineitem", (
-        "l_orderkey AS game_pk", "CAST(l_linenumber AS INT) AS at_bat_index", "l_partkey AS runner_id",
-    ), where="l_returnflag = 'R'"),
+        "CASE l_returnflag WHEN 'R' THEN l_orderkey ELSE -1 - l_orderkey END AS game_pk",
+        "CAST(l_linenumber AS INT) AS at_bat_index", "l_partkey AS runner_id",
+    )),
     # Stored score rows; season and date depend on the game alone.
     "scores": View("lineitem", (
         "l_orderkey AS game_pk",
@@ -154,10 +155,10 @@ VIEWS: dict[str, View] = {
     ), ("year(l_shipdate)", PITCHER)),
     "season_batting": View("lineitem", (
         "CAST(year(l_shipdate) + 24 AS INT) AS season",
-        f"concat('Batter B', CAST({BATTER} AS STRING)) AS player_name",
-        f"CAST({BATTER} AS BIGINT) AS mlbam_id",
+        f"concat('Batter B', CAST({LISTED} AS STRING)) AS player_name",
+        f"CAST({LISTED} AS BIGINT) AS mlbam_id",
         "CAST(count(*) AS INT) AS pa",
-    ), ("year(l_shipdate)", BATTER), "l_returnflag <> 'N'"),
+    ), ("year(l_shipdate)", LISTED)),
     "laps": View("events", (
         f"{RACE} AS race_id", f"{SERIES} AS series_id",
         f"CAST({DRIVER} AS INT) AS driver_id", f"{DRIVER_NAME} AS driver_name",
@@ -180,13 +181,13 @@ VIEWS: dict[str, View] = {
         "CASE WHEN min(event_id) % 6 = 0 THEN NULL ELSE CAST(max(event_id) % 80 AS DOUBLE) / 2 + 1 END AS avg_position",
     ), ("dayofyear(ts)", DRIVER)),
     "driver_stats": View("events", (
-        f"{RACE} AS race_id", f"CAST({DRIVER} AS INT) AS driver_id",
+        f"{RACE} AS race_id", f"CAST({RATED} AS INT) AS driver_id",
         "CAST(count(*) AS INT) AS quality_passes",
         "CAST(sum(CASE event_type WHEN 'click' THEN 1 ELSE 0 END) AS INT) AS green_flag_passes",
         "CAST(sum(CASE event_type WHEN 'view' THEN 1 ELSE 0 END) AS INT) AS green_flag_passed",
         "CAST(sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END) AS INT) AS quality_pass_differential",
         "60 + CAST(max(event_id) % 600 AS DOUBLE) / 10 AS driver_rating",
-    ), ("dayofyear(ts)", DRIVER), "event_type <> 'signup'"),
+    ), ("dayofyear(ts)", RATED)),
     # One snapshot per race day and hour.
     "live_snapshots": View("events", (
         f"{RACE} AS race_id",
@@ -225,8 +226,6 @@ class Tables:
             raise AttributeError(name)
         view = VIEWS[name]
         df = self.base(view.source)
-        if view.where:
-            df = df.filter(view.where)
         if not view.group_by:
             return df.selectExpr(*view.columns)
         return df.groupBy(*[F.expr(k) for k in view.group_by]).agg(*[F.expr(c) for c in view.columns]).select(

@@ -278,7 +278,7 @@ def test_rank_in_slices_equals_plain_rank(spark):
     rng = random.Random(1)
     data = [(rng.choice("aaab"), round(rng.random() * 5, 1), i) for i in range(500)]
     df = spark.createDataFrame(data, "g STRING, v DOUBLE, id INT")
-    got = {r["id"]: r["rank"] for r in groups.rank_in_group(df, "g", [F.col("v"), F.col("id")], "v", rows_per_slice=7).collect()}
+    got = {r["id"]: r["rank"] for r in groups.rank_in_group(df, "g", [F.col("v"), F.col("id")]).collect()}
     for g in "ab":
         for place, (_, _, i) in enumerate(sorted((d for d in data if d[0] == g), key=lambda d: (d[1], d[2])), 1):
             assert got[i] == place
