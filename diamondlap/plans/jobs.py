@@ -25,9 +25,11 @@ def table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     return sinks.read_table(spark, f"{warehouse}/{name}", schema)
 
 
-def mlb_daily(spark: SparkSession, landing_dir: str, warehouse: str, run: int | None = None) -> DataFrame:
+def mlb_daily(spark: SparkSession, landing_dir: str, warehouse: str, run: int | None = None, schedule_dir: str | None = None) -> DataFrame:
     """Land a folder of game documents, refresh the tables of changed games and
-    return the verdict per day of those games. Repeating a failed job under its
+    return the verdict per day of those games. Coverage is judged against the
+    finished games of the schedule documents in `schedule_dir`; the days these
+    know are judged too, stored or not. Without them only stored games count. Repeating a failed job under its
     `run` number takes up where it stopped; by default every call is a new run."""
     run = time.time_ns() if run is None else run
     docs = landing.read_documents(spark, landing_dir)
@@ -35,9 +37,30 @@ def mlb_daily(spark: SparkSession, landing_dir: str, warehouse: str, run: int |
     taken = live.store_games(docs.select("game_pk", "data", "fetched_at"), run, warehouse)
     tables = live.flatten_games(taken, warehouse)
     days = tables["games"].select("game_date").distinct()
+    due = None
+    if schedule_dir is not None:
+        due = landing.schedule_games(landing.read_documents(spark, schedule_dir)).select("game_pk", "game_date")
+        days = days.union(due.select("game_date")).distinct()
     games = table(spark, warehouse, "games").join(days, "game_date", "left_semi")
     at_bats, pitches, runners = (table(spark, warehouse, n) for n in ("at_bats", "pitches", "runners"))
-    return quality.verdict(quality.run_checks(games, games, at_bats, pitches, runners))
+    return quality.verdict(quality.run_checks(games, games if due is None else due, at_bats, pitches, runners))
+
+
+def season_tables(spark: SparkSession, warehouse: str, batting: DataFrame | None = None, pitching: DataFrame | None = None) -> None:
+    """Store season statistics; the seasons given replace their stored rows."""
+    for name, rows in (("season_batting", batting), ("season_pitching", pitching)):
+        if rows is not None:
+            sinks.replace_scope(rows, f"{warehouse}/{name}", ["season"], ["season"])
+
+
+def grade_projections(spark: SparkSession, warehouse: str, projections: str, actuals: DataFrame, keys: Sequence[str]) -> None:
+    """Fill the actual columns of stored projections from finished games; those
+    without a result yet stay as they are. The graded table replaces the last one."""
+    stored = spark.read.parquet(projections)
+    columns = [c for c in actuals.columns if c not in keys]
+    open_columns = [F.lit(None).cast(actuals.schema[c].dataType).alias(c) for c in columns if c not in stored.columns]
+    graded = sinks.update_from(stored.select("*", *open_columns), actuals, keys, columns)
+    graded.write.mode("overwrite").parquet(f"{warehouse}/graded_projections")
 
 
 def build_tendencies(spark: SparkSession, warehouse: str, seasons: Sequence[int] | None = None, min_type: int = 50, min_zone: int = 20) -> None:

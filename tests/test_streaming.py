@@ -26,12 +26,12 @@ def test_race_stream_restarts_and_stops(spark, tmp_path):
     (folder / "a.json").write_text(feed(0))
     first = race.RaceStream(race.race_feeds(spark, src), out, history)
     first.run()
-    assert not first.finished.is_set()
+    assert race.unfinished(spark, out).count() == 1
     (folder / "b.json").write_text(feed(160))
     (folder / "c.json").write_text(feed(200, flag=4))
     second = race.RaceStream(race.race_feeds(spark, src), out, history, every="1 second")
     second.run(check_seconds=1)
-    assert second.finished.is_set() and not second.query.isActive
+    assert race.unfinished(spark, out).isEmpty() and not second.query.isActive
     snaps = spark.read.parquet(f"{out}/live_snapshots")
     assert sorted((r["lap"], r["n"]) for r in snaps.groupBy("lap").agg(F.count("*").alias("n")).collect()) == [(0, 3), (160, 3), (200, 3)]
     assert {r["race_id"] for r in snaps.collect()} == {77}
@@ -72,7 +72,7 @@ def test_game_stream_scores_once_and_keeps_first_projection(spark, tmp_path, ref
         rows_ = spark.createDataFrame(list(docs), schema).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
         rows_.write.mode("append").parquet(src)
         stream = fd.table_stream(spark, src, rows_.schema)
-        live.game_stream(stream, out, reference, buckets=2).awaitTermination()
+        live.game_stream(stream, out, reference).awaitTermination()
 
     arrive((1, game(1, "In Progress", "SC"), "2024-05-01 20:00:00"), (2, game(2, "Final", "SX", order=()), "2024-05-01 20:00:00"))
     arrive((1, game(1, "Final", "SCXB", order=(21, 22, 20)), "2024-05-01 22:00:00"), (2, game(2, "Final", "SSSS"), "2024-05-01 22:00:00"))
@@ -98,14 +98,55 @@ def test_repeated_batch_finishes_what_a_lost_one_began(spark, tmp_path, referenc
     out = str(tmp_path / "out")
     batch = spark.createDataFrame([(1, game(1, "Final", "SX"), "2024-05-01 20:00:00")], "game_pk INT, data STRING, fetched_at STRING")
     batch = batch.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
-    live.store_games(batch, 0, out, buckets=2)
+    live.store_games(batch, 0, out)
     for _ in range(2):
-        live.game_batch(batch, 0, out, reference, buckets=2)
+        live.game_batch(batch, 0, out, reference)
     assert spark.read.parquet(f"{out}/pitches").count() == 2
     assert spark.read.parquet(f"{out}/scores").count() == 1
     assert [r["action"] for r in spark.read.parquet(f"{out}/report").collect()] == ["inserted"]
 
 
+def test_games_without_rows_lose_their_stored_ones_and_other_days_stay(spark, tmp_path):
+    out = str(tmp_path / "out")
+    taken = lambda *docs: spark.createDataFrame(
+        [(pk, day, "Final", "A", "H", game(pk, "Final", calls).replace("2024-05-01", day), None) for pk, day, calls in docs], live.RAW_SCHEMA)
+    live.flatten_games(taken((7, "2024-05-01", "SX"), (8, "2024-05-01", "S"), (9, "2024-05-02", "SSS"), (10, "2024-05-03", "X")), out)
+    files = lambda day: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "out").glob(f"*/part={day}/*.parquet")}
+    before = files("2024-05-02")
+    live.flatten_games(taken((7, "2024-05-01", ""), (10, "2024-05-03", "")), out)
+    count = lambda table: {r["game_pk"]: r["count"] for r in spark.read.parquet(f"{out}/{table}").groupBy("game_pk").count().collect()}
+    assert count("pitches") == {8: 1, 9: 3} and count("at_bats") == {8: 1, 9: 3}
+    assert count("games") == {7: 1, 8: 1, 9: 1, 10: 1}
+    assert files("2024-05-02") == before and before
+    live.flatten_games(taken((9, "2024-05-04", "SS")), out)  # moved to another day
+    assert count("pitches") == {8: 1, 9: 2} and not spark.read.parquet(f"{out}/games").filter("game_pk = 9 and part = '2024-05-02'").count()
+
+
+def test_season_tables_and_grading(spark, tmp_path):
+    house = str(tmp_path / "house")
+    put = lambda rows_: jobs.season_tables(spark, house, batting=spark.createDataFrame(rows_, "season INT, mlbam_id INT, pa INT"))
+    put([(2023, 1, 10), (2024, 1, 20)])
+    put([(2024, 2, 30)])
+    assert sorted((r["season"], r["mlbam_id"]) for r in spark.read.parquet(f"{house}/season_batting").collect()) == [(2023, 1), (2024, 2)]
+    stored = str(tmp_path / "projections")
+    spark.createDataFrame([(1, 5, 0.3), (2, 5, 0.2)], "game_pk INT, batter_id INT, projected DOUBLE").write.parquet(stored)
+    actuals = spark.createDataFrame([(1, 5, 2)], "game_pk INT, batter_id INT, actual_strikeouts INT")
+    jobs.grade_projections(spark, house, stored, actuals, ["game_pk", "batter_id"])
+    graded = spark.read.parquet(f"{house}/graded_projections").collect()
+    assert sorted((r["game_pk"], r["actual_strikeouts"], r["updated"]) for r in graded) == [(1, 2, True), (2, None, False)]
+
+
+def test_coverage_against_the_schedule(spark, tmp_path):
+    landing, schedule, house = tmp_path / "landing", tmp_path / "schedule", str(tmp_path / "house")
+    landing.mkdir()
+    schedule.mkdir()
+    (landing / "1.json").write_text(game(1, "Final", "SCXBSC"))
+    due = [{"gamePk": pk, "status": {"detailedState": "Final"}} for pk in (1, 2, 3)]
+    (schedule / "s.json").write_text(json.dumps({"dates": [{"date": "2024-05-01", "games": due}, {"date": "2024-05-09", "games": [{"gamePk": 4, "status": {"detailedState": "Final"}}]}]}))
+    verdict = {r["scope"]: r["verdict"] for r in jobs.mlb_daily(spark, str(landing), house, schedule_dir=str(schedule)).collect()}
+    assert verdict == {"2024-05-01": "failed", "2024-05-09": "failed"}
+
+
 def test_batch_jobs(spark, tmp_path):
     landing, house = tmp_path / "landing", str(tmp_path / "house")
     landing.mkdir()
