@@ -10,61 +10,62 @@ from diamondlap.plans.catalog_serve import six
 from diamondlap.plans.registry import n, query, r
 from diamondlap.plans.tables import Tables, with_views
 
-# Projections of one season use the rates of the season before.
-SEASON = 2024
 MIN_MIX, MIN_AB, MIN_IP = 5, 10, 30
 
 
 def lineups(t: Tables) -> DataFrame:
-    """Every batter a pitcher faced, as that game's lineup row."""
-    return t.at_bats.filter(F.col("batter_id").isNotNull()).select(
-        "game_pk", "pitcher_id", "batter_id", F.col("at_bat_index").alias("batting_order")
+    """Every batter a pitcher faced, as that game's lineup row, with the season
+    whose rates count: the one before the game's."""
+    before = t.games.select("game_pk", (F.col("season") - 1).cast("int").alias("season"))
+    return t.at_bats.filter(F.col("batter_id").isNotNull()).join(before, "game_pk").select(
+        "game_pk", "season", "pitcher_id", "batter_id", F.col("at_bat_index").alias("batting_order")
     )
 
 
 def mix(t: Tables) -> DataFrame:
-    return serve.pitch_mix(t.scores, SEASON, MIN_MIX).drop("season")
+    return serve.pitch_mix(t.scores, min_pitches=MIN_MIX)
 
 
 def tend(t: Tables) -> DataFrame:
-    return tendencies(t).filter(F.col("season") == SEASON).drop("season")
+    return tendencies(t)
 
 
 def k_rates(t: Tables) -> DataFrame:
-    return serve.batter_k(t.box_batting, t.games, SEASON, MIN_AB)
+    return serve.batter_k(t.box_batting, t.games, min_ab=MIN_AB)
 
 
 def pitcher_rates(t: Tables) -> DataFrame:
-    return mc.pitcher_season_by_name(t.season_pitching, serve.latest_name(t.at_bats), SEASON)
+    return mc.pitcher_season_by_name(t.season_pitching, serve.latest_name(t.at_bats))
 
 
 VIEWS = ["games", "at_bats", "pitches", "scores", "box_batting", "season_pitching"]
 _WH = "coalesce(nullif(t.whiff_rate, 0), 0.267)"
 _BASE = ", ".join([
-    f"tt AS (SELECT * FROM ({tt_select(MIN_FACED)}) WHERE season = {SEASON} AND pitches_faced >= {MIN_FACED})",
-    "mix AS (SELECT *, total_pitches / sum(total_pitches) OVER (PARTITION BY pitcher_id) AS usage FROM ("
-    f"SELECT pitcher_id, pitch_type_code, {r('avg(value_plus)', 1)} AS value_plus, {r('avg(whiff_rate)', 3)} AS whiff_rate, "
+    f"tt AS (SELECT * FROM ({tt_select(MIN_FACED)}) WHERE pitches_faced >= {MIN_FACED})",
+    "mix AS (SELECT *, total_pitches / sum(total_pitches) OVER (PARTITION BY season, pitcher_id) AS usage FROM ("
+    f"SELECT season, pitcher_id, pitch_type_code, {r('avg(value_plus)', 1)} AS value_plus, {r('avg(whiff_rate)', 3)} AS whiff_rate, "
     f"{r('avg(csw_rate)', 3)} AS csw_rate, {r('avg(hard_hit_rate)', 3)} AS hard_hit_rate, {r('avg(avg_velo)', 1)} AS avg_velo, "
-    f"sum(pitches_thrown) AS total_pitches FROM scores WHERE game_type = 'R' AND season = {SEASON} "
-    f"GROUP BY pitcher_id, pitch_type_code HAVING sum(pitches_thrown) >= {MIN_MIX}))",
-    "lineups AS (SELECT game_pk, pitcher_id, batter_id, at_bat_index AS batting_order FROM at_bats WHERE batter_id IS NOT NULL)",
-    "bk AS (SELECT b.player_id AS batter_id, sum(b.strikeouts) / nullif(sum(b.at_bats), 0) AS k FROM box_batting b "
-    f"JOIN games g ON g.game_pk = b.game_pk WHERE g.game_type = 'R' AND g.season = {SEASON} GROUP BY b.player_id HAVING sum(b.at_bats) >= {MIN_AB})",
+    f"sum(pitches_thrown) AS total_pitches FROM scores WHERE game_type = 'R' "
+    f"GROUP BY season, pitcher_id, pitch_type_code HAVING sum(pitches_thrown) >= {MIN_MIX}))",
+    "lineups AS (SELECT a.game_pk, CAST(g.season - 1 AS INT) AS season, a.pitcher_id, a.batter_id, a.at_bat_index AS batting_order FROM at_bats a "
+    "JOIN games g ON g.game_pk = a.game_pk WHERE a.batter_id IS NOT NULL)",
+    "bk AS (SELECT g.season, b.player_id AS batter_id, sum(b.strikeouts) / nullif(sum(b.at_bats), 0) AS k FROM box_batting b "
+    f"JOIN games g ON g.game_pk = b.game_pk WHERE g.game_type = 'R' GROUP BY g.season, b.player_id HAVING sum(b.at_bats) >= {MIN_AB})",
     "nm AS (SELECT pitcher_id, max(pitcher_name) AS nm FROM at_bats GROUP BY pitcher_id)",
-    f"pk AS (SELECT n.pitcher_id, s.k_pct AS k, s.ip FROM season_pitching s JOIN nm n ON lower(n.nm) = lower(s.player_name) WHERE s.season = {SEASON} AND s.ip >= {MIN_IP})",
+    f"pk AS (SELECT s.season, n.pitcher_id, s.k_pct AS k, s.ip FROM season_pitching s JOIN nm n ON lower(n.nm) = lower(s.player_name) WHERE s.ip >= {MIN_IP})",
     "faced AS (SELECT l.*, m.pitch_type_code, m.usage, m.value_plus, m.avg_velo, m.whiff_rate AS pw, m.csw_rate AS pc, m.hard_hit_rate AS ph, "
     f"{_WH} / 0.267 AS adj, t.batter_id IS NOT NULL AS known, coalesce(nullif(pk.k, 0), 0.23) AS kp, coalesce(nullif(bk.k, 0), 0.227) AS kb, "
     "least(0.40, coalesce(pk.ip, 0) / 200) AS ipw, coalesce(nullif(t.hard_hit_rate, 0), 0.395) AS bh, coalesce(nullif(t.contact_rate, 0), 0.78) AS ct, "
     "coalesce(nullif(t.barrel_rate, 0), 0.08) AS br, coalesce(nullif(t.avg_exit_velo, 0), 88.0) AS ev, t.pitches_faced "
-    "FROM lineups l JOIN mix m ON m.pitcher_id = l.pitcher_id "
-    "LEFT JOIN tt t ON t.batter_id = l.batter_id AND t.pitch_type_code = m.pitch_type_code "
-    "LEFT JOIN pk ON pk.pitcher_id = l.pitcher_id LEFT JOIN bk ON bk.batter_id = l.batter_id)",
+    "FROM lineups l JOIN mix m ON m.season = l.season AND m.pitcher_id = l.pitcher_id "
+    "LEFT JOIN tt t ON t.season = l.season AND t.batter_id = l.batter_id AND t.pitch_type_code = m.pitch_type_code "
+    "LEFT JOIN pk ON pk.season = l.season AND pk.pitcher_id = l.pitcher_id LEFT JOIN bk ON bk.season = l.season AND bk.batter_id = l.batter_id)",
 ])
 _LK = (
-    "k0 AS (SELECT game_pk, pitcher_id, batter_id, batting_order, max(kp) AS kp, max(kb) AS kb, max(ipw) AS ipw, bool_or(has_any) AS has_any, "
+    "k0 AS (SELECT game_pk, season, pitcher_id, batter_id, batting_order, max(kp) AS kp, max(kb) AS kb, max(ipw) AS ipw, bool_or(has_any) AS has_any, "
     "sum(pw * adj * usage) / sum(usage) AS wh, sum(pc * adj * usage) / sum(usage) AS cs, sum(adj * usage) AS ow, sum(value_plus * usage) AS vp "
-    "FROM (SELECT f.*, f.batter_id IN (SELECT batter_id FROM tt) AS has_any FROM faced f) GROUP BY game_pk, pitcher_id, batter_id, batting_order), "
-    "lk AS (SELECT game_pk, pitcher_id, batter_id, batting_order, "
+    "FROM (SELECT f.*, (f.season, f.batter_id) IN (SELECT (season, batter_id) FROM tt) AS has_any FROM faced f) GROUP BY game_pk, season, pitcher_id, batter_id, batting_order), "
+    "lk AS (SELECT game_pk, season, pitcher_id, batter_id, batting_order, "
     + r("least(0.65, greatest(0.05, kp * ow * ipw + kb * (kp / 0.227) * 0.35 + least(0.60, cs * 0.75) * (1 - ipw - 0.35)))", 3)
     + f" AS projected_k_pct, {r('wh', 3)} AS projected_whiff_rate, {r('cs', 3)} AS projected_csw, {r('vp', 1)} AS weighted_value_plus, "
     f"has_any AS has_tendency_data, {r('kp * 100', 1)} AS pitcher_k_pct, {r('ipw', 2)} AS ip_anchor_weight FROM k0)"
@@ -95,13 +96,13 @@ _KB = "least(0.65, greatest(0.05, kp * adj * ipw + kb * (kp / 0.227) * 0.35 + le
 _VP = "coalesce(nullif(value_plus, 0), 100)"
 _PAIR = (
     f"pp AS (SELECT *, {_KB} AS k, bh * 0.6 + coalesce(nullif(ph, 0), 0.395) * 0.4 AS hh, 100.0 / greatest({_VP}, 50) AS sup FROM "
-    "(SELECT DISTINCT ON (pitcher_id, batter_id, pitch_type_code) * FROM faced)), "
+    "(SELECT DISTINCT ON (season, pitcher_id, batter_id, pitch_type_code) * FROM faced)), "
     "pw AS (SELECT *, (1 - k) * ct * 0.380 * sup AS woba FROM pp)"
 )
 
 
 def pairs(t: Tables) -> DataFrame:
-    return lineups(t).select("pitcher_id", "batter_id").distinct()
+    return lineups(t).select("season", "pitcher_id", "batter_id").distinct()
 
 
 def versus(t: Tables) -> DataFrame:
@@ -112,11 +113,11 @@ def versus(t: Tables) -> DataFrame:
 
 @query("m04_batter_vs_pitcher", with_views(
     VIEWS,
-    f"SELECT pitcher_id, batter_id, {r('sum(k * usage) / sum(usage) * 100', 1)} AS projected_k_pct, "
+    f"SELECT season, pitcher_id, batter_id, {r('sum(k * usage) / sum(usage) * 100', 1)} AS projected_k_pct, "
     f"{r('sum(woba * usage) / sum(usage)', 3)} AS projected_woba, {r('sum(hh * usage) / sum(usage) * 100', 1)} AS projected_hard_hit_pct, "
     f"{r('sum(tb * up / 100)', 3)} AS projected_tb_per_pa, {r('sum(tb * up / 100) * 3.5', 2)} AS projected_tb_game, "
     f"{r('max(kp) * 100', 1)} AS pitcher_k_pct, {r('max(ipw)', 2)} AS ip_anchor_weight FROM "
-    f"(SELECT *, {r('woba * 1.3', 3)} AS tb, {r('usage * 100', 1)} AS up FROM pw) GROUP BY pitcher_id, batter_id",
+    f"(SELECT *, {r('woba * 1.3', 3)} AS tb, {r('usage * 100', 1)} AS up FROM pw) GROUP BY season, pitcher_id, batter_id",
     _BASE + ", " + _PAIR))
 def _(t):
     return versus(t).drop("pitch_breakdown")
@@ -124,23 +125,23 @@ def _(t):
 
 @query("m04_pitch_breakdown", with_views(
     VIEWS,
-    f"SELECT pitcher_id, batter_id, pitch_type_code, {r('usage * 100', 1)} AS usage_pct, avg_velo, {_VP} AS value_plus, "
+    f"SELECT season, pitcher_id, batter_id, pitch_type_code, {r('usage * 100', 1)} AS usage_pct, avg_velo, {_VP} AS value_plus, "
     f"{r('least(0.80, coalesce(nullif(pw, 0), 0.267) * adj) * 100', 1)} AS adj_whiff_pct, {r('k * 100', 1)} AS adj_k_pct, "
     f"{r('hh * 100', 1)} AS adj_hard_hit_pct, {r('br * sup * 100', 1)} AS adj_barrel_pct, {r('ev', 1)} AS batter_avg_ev, "
     f"{r('woba', 3)} AS exp_woba, {r('woba * 1.3', 3)} AS exp_tb_per_pa, {r('0.380 * sup', 3)} AS woba_on_contact, "
     f"known AS has_tendency_data, {n('coalesce(pitches_faced, 0)')} AS pitches_faced FROM pw", _BASE + ", " + _PAIR))
 def _(t):
-    return versus(t).select("pitcher_id", "batter_id", F.explode("pitch_breakdown").alias("p")).select(
-        "pitcher_id", "batter_id", "p.*"
+    return versus(t).select("season", "pitcher_id", "batter_id", F.explode("pitch_breakdown").alias("p")).select(
+        "season", "pitcher_id", "batter_id", "p.*"
     )
 
 
 _SNAP = (
     "s0 AS (SELECT *, least(0.60, least(0.65, coalesce(nullif(pc, 0), 0.30) * adj) * 0.75) AS k, "
     f"bh * 0.6 + coalesce(nullif(ph, 0), 0.395) * 0.4 AS hh, 100.0 / greatest({_VP}, 50) AS sup FROM faced), "
-    "s1 AS (SELECT game_pk, pitcher_id, batter_id, batting_order, sum(k * usage) / sum(usage) AS k, sum(hh * usage) / sum(usage) AS hh, "
-    f"sum((1 - k) * ct * 0.380 * sup * usage) / sum(usage) AS woba, sum({_VP} * usage) AS vp FROM s0 GROUP BY game_pk, pitcher_id, batter_id, batting_order), "
-    f"snap AS (SELECT game_pk, pitcher_id, batter_id, batting_order, {r('vp', 1)} AS pitcher_value_plus, "
+    "s1 AS (SELECT game_pk, season, pitcher_id, batter_id, batting_order, sum(k * usage) / sum(usage) AS k, sum(hh * usage) / sum(usage) AS hh, "
+    f"sum((1 - k) * ct * 0.380 * sup * usage) / sum(usage) AS woba, sum({_VP} * usage) AS vp FROM s0 GROUP BY game_pk, season, pitcher_id, batter_id, batting_order), "
+    f"snap AS (SELECT game_pk, season, pitcher_id, batter_id, batting_order, {r('vp', 1)} AS pitcher_value_plus, "
     f"{r('CASE WHEN k <> 0 THEN k / 0.75 ELSE 0.267 END', 3)} AS batter_whiff_rate, {r('hh', 3)} AS batter_hard_hit_rate, "
     f"CAST(0.38 AS DOUBLE) AS batter_woba_on_contact, {r('k', 3)} AS proj_k_pct, {r('woba', 3)} AS proj_woba, {r('woba * 1.3', 3)} AS proj_tb_per_pa, "
     f"{r('woba * 1.3 * 3.5', 2)} AS proj_tb_game, {r('hh', 3)} AS proj_hard_hit_pct FROM s1)"
@@ -175,7 +176,7 @@ def _(t):
 
 def graded(t: Tables) -> DataFrame:
     seasons = t.games.select("game_pk", "season")
-    return matchup.grade(snapshots(t).join(seasons, "game_pk"), t.box_batting)
+    return matchup.grade(snapshots(t).drop("season").join(seasons, "game_pk"), t.box_batting)
 
 
 def _corr(a, b):
@@ -205,7 +206,7 @@ def _metrics(by: str) -> str:
     ])
 
 
-_GRADED = "SELECT p.*, g.season, a.* EXCLUDE (game_pk, batter_id) FROM snap p JOIN games g ON g.game_pk = p.game_pk JOIN act a ON a.game_pk = p.game_pk AND a.batter_id = p.batter_id WHERE a.actual_pa >= 1"
+_GRADED = "SELECT p.* EXCLUDE (season), g.season, a.* EXCLUDE (game_pk, batter_id) FROM snap p JOIN games g ON g.game_pk = p.game_pk JOIN act a ON a.game_pk = p.game_pk AND a.batter_id = p.batter_id WHERE a.actual_pa >= 1"
 
 
 @query("m06_grading_by_season", with_views(
