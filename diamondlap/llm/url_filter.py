@@ -30,7 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diamondlap.sources.staging import stage
+
 BLOCK_BYTES = 64 << 20
+BLOCKS_A_PASS = 8  # blocks applied before the rows are written
 RULE = "host string, path string, verdict string"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -150,8 +153,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", limit
         F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("int").alias("rule_host"),
     )
     urls = urls.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", "verdict", "rule_host")
-    for block in blocks(rules, limit):
-        urls = _apply(urls, block)
+    for k, block in enumerate(blocks(rules, limit)):
+        urls = _apply(stage(urls, "urls") if k and not k % BLOCKS_A_PASS else urls, block)
     return urls.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
