@@ -8,9 +8,10 @@ distinct segments of the other owners are compared byte by byte: dealt by owner
 into shards, each shard sorts its suffixes by prefix doubling, refining only
 groups that are still tied (Larsson and Sadakane), takes common prefixes of
 neighbours in text order (Kasai), and marks windows that share `length` bytes. An
-owner with more than SHARD segments is dealt over several shards; these give one
-digest for each distinct string, and the sorted digests of all shards are merged
-by binary search, so the work stays in proportion to the strings.
+owner with more than SHARD segments is dealt over several shards; each gives the
+sorted digests of its distinct strings, in as many ranges as there are shards, and
+the digests of a range are looked up among those of all shards by binary search,
+so the work stays in proportion to the strings.
 
 Overlapping occurrences count, and strings are judged on the input. Each byte of
 a repeated string is removed.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diamondlap.llm.graph import groups, small
+from diamondlap.llm.graph import groups
 from diamondlap.llm.segments import segments
 from diamondlap.llm.text import byte_slices, prefix_hash, span_hash
 from diamondlap.sources.staging import stage
@@ -40,7 +41,7 @@ LENGTH = 200
 GRAM = 48
 SHARD = 1_024  # segments of one owner in one shard
 SORTED_BYTES = 1_000_000  # of whole shards, sorted together
-RUNS_BROADCAST = 2_000_000
+RUNS_BROADCAST, SEGMENTS_BROADCAST = 2_000_000, 1_000_000  # of 16 and 40 bytes
 SLICE = 1_000_000
 
 
@@ -88,8 +89,10 @@ class SuffixArray:
     def common(self, stride: int = 64) -> np.ndarray:
         """Bytes, `length` at most, that each suffix shares with the one before it in order; by position.
 
-        Kasai: what a suffix shares is at most one less than what the suffix one
-        position before it shares. Every stride-th position goes on at once.
+        Kasai: a suffix shares at least one byte less than the suffix one position
+        before it does, as long as the one before that, also moved on, still is
+        before it in order, which the cut at `length` bytes may change. Every
+        stride-th position goes on at once.
         """
         n = len(self.order)
         before = np.full(n, -1, np.int64)
@@ -99,7 +102,10 @@ class SuffixArray:
             at = np.arange(s, n, stride)
             at = at[before[at] >= 0]
             other = before[at]
-            held = np.maximum(out[at - 1] - 1, 0) if s else np.zeros(len(at), np.int64)
+            held = np.zeros(len(at), np.int64)
+            if s:
+                still = (before[at - 1] >= 0) & (self.rank[before[at - 1] + 1] <= self.rank[at])
+                held[still] = np.maximum(out[at[still] - 1] - 1, 0)
             going = np.arange(len(at))
             while len(going):
                 here = held[going]
@@ -170,8 +176,8 @@ def cut_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, "owner bigint, segment bigint, n bigint, key bigint, first bigint, windows int, raw binary")
 
 
-MARKS = "kind int, digest bigint, key bigint, first bigint, windows bigint"
-RUN, SINGLE, TOLD = 0, 1, 2  # a run of repeated windows; one string of a shard, to be marked if another has it; one that only tells
+MARKS = "owner bigint, range int, key bigint, first bigint, windows bigint, strings binary"  # a run, or a shard's strings
+STRINGS = np.dtype([("digest", np.uint64), ("key", np.int64), ("first", np.int64), ("single", np.int64)])
 
 
 def compare_bytes(rows: DataFrame, length: int) -> DataFrame:
@@ -195,7 +201,7 @@ def compare_bytes(rows: DataFrame, length: int) -> DataFrame:
             many, first = _among(data, at, length)
         else:
             many, first = many[at], first[at]
-        once = np.asarray(rows.column("n")) == 1
+        once = np.asarray(rows.column("n")) == 1  # the others are repeated as a whole
         key, base = np.asarray(rows.column("key")), np.asarray(rows.column("first"))
         hit = many & once[row]
         begin = hit.copy()
@@ -203,19 +209,30 @@ def compare_bytes(rows: DataFrame, length: int) -> DataFrame:
         heads, total = np.flatnonzero(begin), np.cumsum(hit)
         ends = np.append(heads[1:], len(hit))
         run = total[ends - 1] - total[heads] + 1 if len(heads) else heads
-        own = [(RUN, np.zeros(len(heads), np.int64), row[heads], offset[heads], run)]
-        shared = np.asarray(rows.column("parts"))[row] > 1
-        single, told = shared & ~many & once[row], shared & ~(~many & once[row]) & first
-        if shared.any():
-            digests = span_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1)), at, at + length).view(np.int64)
-            own += [(kind, digests[which], row[which], offset[which], np.ones(int(which.sum()), np.int64)) for kind, which in ((SINGLE, single), (TOLD, told))]
-        for kind, digest, r, o, count in own:
-            if len(r):
+        if len(heads):
+            none = pa.nulls(len(heads))
+            yield pa.RecordBatch.from_arrays(
+                [none.cast(pa.int64()), none.cast(pa.int32()), pa.array(key[row[heads]]), pa.array(base[row[heads]] + offset[heads]), pa.array(run), none.cast(pa.binary())],
+                names=names,
+            )
+        parts, owner = np.asarray(rows.column("parts")), np.asarray(rows.column("owner"))
+        if (parts > 1).any():
+            tells = np.flatnonzero((parts[row] > 1) & first)  # one window of each distinct string
+            at, row, offset = at[tells], row[tells], offset[tells]
+            strings = np.empty(len(tells), STRINGS)
+            strings["digest"] = span_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1)), at, at + length)
+            strings["key"], strings["first"], strings["single"] = key[row], base[row] + offset, ~many[tells] & once[row]
+            place = (strings["digest"] >> np.uint64(32)).astype(np.int64) * parts[row] >> 32
+            order = np.lexsort((strings["digest"], place, owner[row]))
+            strings, place, owner = strings[order], place[order], owner[row][order]
+            bounds = np.flatnonzero((owner[1:] != owner[:-1]) | (place[1:] != place[:-1])) + 1
+            for a, b in zip([0, *bounds], [*bounds, len(strings)]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(r), kind, np.int32)), pa.array(digest), pa.array(key[r]), pa.array(base[r] + o), pa.array(count)],
-                    names=["kind", "digest", "key", "first", "windows"],
+                    [pa.array([owner[a]]), pa.array([place[a]], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([strings[a:b].tobytes()], pa.binary())], names=names
                 )
 
+    names = [c.split()[0] for c in MARKS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch, first, end in groups(batches, ("owner", "part"), least=1):
@@ -255,31 +272,21 @@ def merge_shards(marks: DataFrame) -> DataFrame:
     """Windows whose string another shard of the same owner has as well: key, first, windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digest, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            count = np.searchsorted(digest, digest, "right") - np.searchsorted(digest, digest, "left")
-            hit = pa.array((count > 1) & (kind == SINGLE))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in (2, 3, 4)], names=["key", "first", "windows"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches cut so that equal digests stay together; a digest occurs once in a shard."""
-        held = None
-        for batch in batches:
-            if held is not None and held.num_rows:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            digest = np.asarray(batch.column(0))
-            cut = int(np.searchsorted(digest, digest[-1], "left")) if len(digest) else 0
-            yield batch.slice(0, cut)
-            held = batch.slice(cut)
-        if held is not None:
-            yield held
+        for batch, a, b in groups(batches, ("owner", "range")):
+            strings = np.frombuffer(b"".join(batch.column(2).slice(a, b - a).to_pylist()), STRINGS)
+            digests = np.sort(strings["digest"], kind="stable")  # of runs that are sorted already
+            count = np.searchsorted(digests, strings["digest"], "right") - np.searchsorted(digests, strings["digest"], "left")
+            hit = strings[(count > 1) & (strings["single"] == 1)]  # a shard gives each string once
+            if len(hit):
+                columns = [pa.array(np.ascontiguousarray(hit[c])) for c in ("key", "first")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.ones(len(hit), np.int64))], names=["key", "first", "windows"])
 
-    rows = marks.where(F.col("kind") != RUN).select("digest", "kind", "key", "first", "windows")
-    rows = rows.repartition("digest").sortWithinPartitions("digest")
-    return rows.mapInArrow(lambda batches: run(whole(batches)), "key bigint, first bigint, windows bigint")
+    rows = marks.where("strings is not null").select("owner", "range", "strings")
+    rows = rows.repartition("owner", "range").sortWithinPartitions("owner", "range")
+    return rows.mapInArrow(run, "key bigint, first bigint, windows bigint")
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """key and the byte runs (starts, ends) of its text to be removed, for documents that have any."""
     cut = cut_texts(docs, length, gram)
     owners = cut.groupBy("owner").agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"))
@@ -288,17 +295,17 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     mixed = again.where(~F.col("pure"))
     distinct = mixed.groupBy("owner", "segment").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("key", "first", "windows")))
     distinct = stage(distinct, "distinct")
-    parts = distinct.groupBy("owner").agg(F.count("*").alias("count"), F.min("n").alias("least"))
-    hot = stage(parts.where(F.col("count") > SHARD).select("owner", F.ceil(F.col("count") / SHARD).cast("int").alias("parts")), "hot")
+    hot = stage(distinct.groupBy("owner").count().where(F.col("count") > shard).select("owner", F.ceil(F.col("count") / shard).cast("int").alias("parts")), "hot")
     wanted = stage(distinct.groupBy("key").agg(F.collect_list(F.struct("owner", "segment", "n", "first", "windows")).alias("list")), "wanted")
-    shards = cut_bytes(docs, small(wanted, RUNS_BROADCAST // 8), length).join(hot, "owner", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    wanted = F.broadcast(wanted) if distinct.count() <= SEGMENTS_BROADCAST else wanted
+    shards = cut_bytes(docs, wanted, length).join(hot, "owner", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     shards = shards.withColumn("part", F.pmod(F.xxhash64("segment"), F.col("parts")).cast("int"))
     marks = stage(compare_bytes(shards.repartition("owner", "part").sortWithinPartitions("owner", "part", "segment"), length), "marks")
     copies = mixed.join(distinct.where("n > 1").select("owner", "segment"), ["owner", "segment"], "left_semi")
     runs = (
         again.where("pure").select("key", "first", F.col("windows").cast("long"))
         .union(copies.select("key", "first", F.col("windows").cast("long")))
-        .union(marks.where(F.col("kind") == RUN).select("key", "first", "windows"))
+        .union(marks.where("strings is null").select("key", "first", "windows"))
         .union(merge_shards(marks))
     )
     listed = runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "windows"))).alias("list"))
@@ -323,10 +330,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return listed.mapInArrow(merge, "key bigint, starts array<bigint>, ends array<bigint>")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, text and the byte runs of every document that are to be removed."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key())
-    runs = stage(repeated_runs(docs, length, gram), "runs")
+    runs = stage(repeated_runs(docs, length, gram, shard), "runs")
     size = runs.agg(F.sum(F.size("starts"))).first()[0] or 0
     runs = F.broadcast(runs) if size <= RUNS_BROADCAST else runs
     return docs.join(runs, "key", "left").select("doc_id", "text", "starts", "ends")
