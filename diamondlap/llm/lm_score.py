@@ -12,9 +12,9 @@ token of every text; the FREQUENT most frequent tokens are looked up in the task
 instead, so only rare ones are shuffled. Classes come from the neighbours of
 frequent tokens (k-means of their counts next to the most frequent ones), other
 tokens take the class most common for their last two bytes. Weights are trained
-in rounds over the whole training corpus: every task goes through its texts in
-sparse batches of gradient steps from the current weights, and each feature's
-changes are averaged over the tasks by how often these saw it. Only the weights,
+in rounds that share out the whole training corpus: every task goes through its
+texts of the round in sparse batches of gradient steps from the current weights,
+and each feature's changes are averaged over the tasks by how often these saw it. Only the weights,
 counts for the most frequent tokens and class totals reach the driver; their
 sizes are fixed.
 
@@ -42,11 +42,11 @@ from diamondlap.llm.text import byte_slices, joined, mix, prefix_hash, span_hash
 from diamondlap.sources.staging import stage
 
 CLASSES = 32
-FEATURES = 1 << 15
+FEATURES = 1 << 15  # at most 1 << 16
 FREQUENT = 1 << 18
 CLUSTERED, NEIGHBOURS = 8_192, 16  # tokens that are clustered, and by how many others on either side
-ROUNDS = 2
-STEP = 0.5
+ROUNDS = 2  # each training text is in one of them
+STEP = 0.8
 BATCH = 16_384
 SURFACES = 4_096
 CHUNK = 1 << 14
@@ -284,39 +284,58 @@ def features(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[:, 0]] + weights[0]
+    x = weights.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        x += weights[rows[:, k]]
-    x -= x.max(axis=1, keepdims=True)
+        x += weights.take(rows[:, k], axis=0)
+    x += weights[0]
+    np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
 
 
+def grouped_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of values[order] over the runs that begin at `first`. Most runs are short: their
+    first rows are added up for all runs at once, then their second ones, and so on."""
+    out = values.take(order[first], axis=0)
+    for k in range(1, few):
+        own = np.flatnonzero(times > k)
+        out[own] += values.take(order[first[own] + k], axis=0)
+    long = np.flatnonzero(times > few)
+    if len(long):
+        rest = times[long] - few
+        start = np.cumsum(rest) - rest
+        place = np.repeat(first[long] + few - start, rest) + np.arange(rest.sum())
+        out[long] += np.add.reduceat(values.take(order[place], axis=0), start, axis=0)
+    return out
+
+
 def learn(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, label: np.ndarray) -> None:
     """One batch of gradient steps; a feature's step shrinks with the root of how often it was seen."""
     gradient = probabilities(weights, rows)
     gradient[np.arange(len(label)), label] -= 1
-    flat = rows.T.ravel()
+    flat = rows.T.ravel().astype(np.uint16)  # sorted by its digits, not by comparisons
     order = np.argsort(flat, kind="stable")
     sorted_rows = flat[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-    own = sorted_rows[first]
-    times = np.diff(np.concatenate((first, [len(flat)]))).astype(np.float32)
+    own = sorted_rows[first].astype(np.int64)
+    times = np.diff(np.concatenate((first, [len(flat)])))
     seen[own] += times
     seen[0] += len(label)
-    sums = np.add.reduceat(gradient[order % len(label)], first, axis=0)
-    weights[own] -= STEP * sums / np.sqrt(times * seen[own])[:, None]
+    sums = grouped_sums(gradient, order % len(label), first, times)
+    sums *= (STEP / np.sqrt(times * seen[own])).astype(np.float32)[:, None]
+    weights[own] -= sums
     weights[0] -= STEP * gradient.sum(axis=0) / np.sqrt(len(label) * seen[0])
 
 
 def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after some rounds over all training texts."""
+    """Weights after some rounds, which take each training text once."""
     context = docs.sparkSession.sparkContext
     words = context.broadcast(known)
     weights = np.zeros((FEATURES, CLASSES), np.float32)
-    for _ in range(rounds):
+    for k in range(rounds):
         now = context.broadcast(weights)
+        share = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
 
         def add(batches: Iterator[pa.RecordBatch], now=now) -> np.ndarray:
             known, own, seen = words.value, now.value.copy(), np.zeros(FEATURES, np.float32)
@@ -330,7 +349,7 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
                         learn(own, seen, rows[k : k + BATCH], label[k : k + BATCH])
             return np.concatenate((((own - now.value) * seen[:, None]).ravel(), seen))
 
-        sums = partition_sums(docs.select("text"), FEATURES * (CLASSES + 1), add)
+        sums = partition_sums(share.select("text"), FEATURES * (CLASSES + 1), add)
         change, seen = sums[: FEATURES * CLASSES].reshape(FEATURES, CLASSES), sums[FEATURES * CLASSES :]
         weights = (weights + change / np.maximum(seen, 1)[:, None]).astype(np.float32)
         now.unpersist()

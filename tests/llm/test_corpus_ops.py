@@ -284,6 +284,16 @@ def test_probabilities_sum_to_one_over_classes_and_tokens():
     assert seen[0] + 10 ** -known.log_total[0] == pytest.approx(1) and seen[1] + 10 ** -known.log_total[1] == pytest.approx(1)
 
 
+def test_grouped_sums():
+    rnd = np.random.default_rng(6)
+    rows = np.sort(rnd.zipf(1.3, 2000).clip(max=300))
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    times = np.diff(np.append(first, len(rows)))
+    values, order = rnd.standard_normal((700, 5)).astype(np.float32), rnd.integers(0, 700, 2000)
+    want = [values[order[a : a + n]].sum(axis=0) for a, n in zip(first, times)]
+    assert np.allclose(lm_score.grouped_sums(values, order, first, times), want, atol=1e-4)
+
+
 def test_lookup_finds_exactly_its_keys():
     keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64)) << np.uint64(1)
     lookup = lm_score.Lookup(keys)
