@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF = 24  # bytes encoded by plain merging
 SEAM = 3  # tokens on either side of a seam that are encoded anew first
-KEPT = 250_000  # encodings that a table keeps at least, and at most twice as many
+KEPT = 150_000  # encodings that a table keeps at least, and at most twice as many
 
 # White space as the rank files' own library splits it: without the separators 0x1C to 0x1F.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"

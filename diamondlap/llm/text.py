@@ -22,20 +22,19 @@ for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_":
     _WORD_BYTE[_c] = True
 _WORD_BYTE[128:] = True
 
-_power_cache: dict[tuple[int, bool], np.ndarray] = {}
+_power_cache: dict[bool, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """BASE**0 .. BASE**(n-1), or those of its inverse."""
-    size = 1 << max(n - 1, 1).bit_length()
-    key = (size, inverse)
-    if key not in _power_cache:
-        steps = np.full(size, INVERSE if inverse else BASE, np.uint64)
+    held = _power_cache.get(inverse)
+    if held is None or len(held) < n:
+        steps = np.full(1 << max(n - 1, 1).bit_length(), INVERSE if inverse else BASE, np.uint64)
         steps[0] = 1
-        if size > 4 * SLICE_BYTES:  # rare: do not keep it
-            return np.multiply.accumulate(steps)[:n]
-        _power_cache[key] = np.multiply.accumulate(steps)
-    return _power_cache[key][:n]
+        held = np.multiply.accumulate(steps)
+        if len(held) <= 4 * SLICE_BYTES:  # longer ones are rare
+            _power_cache[inverse] = held
+    return held[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
