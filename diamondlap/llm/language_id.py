@@ -6,8 +6,9 @@ frequent n-grams are compared to each profile: every n-gram adds the number of
 places it is out of, or the full profile length if the profile lacks it. The
 nearest profile is the prediction.
 
-Letters other than a-z share 36 symbols by code point, which bounds the n-gram
-space (GRAMS) and with it every table here whatever the input.
+An n-gram is its code points in 21 bits each, so n-grams of any scripts stay
+apart. Tasks count them in sorted arrays of HELD n-grams at most, Spark adds these
+up, and only the profiles reach the driver.
 
 Defined cases: a null text, an empty one or one without letters is `und` with
 score 0, and so is every text if nothing could be learned. Equal distances go to
@@ -31,43 +32,49 @@ from diamondlap.llm.text import byte_slices
 PROFILE = 300
 MIN_SCORE = 0.02  # the pipeline rejects what is farther than this from every profile
 UNDECIDED = "und"
-SYMBOLS = 64
-GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+HELD = 1_000_000  # n-grams a task counts before it passes them on
+END = 1  # marks a word end; no letter
+_BITS = 21
 
-_symbols: np.ndarray | None = None
+_letters: np.ndarray | None = None
 
 
-def symbols() -> np.ndarray:
-    """Symbol of each code point: 0 no letter, 1-26 a-z, 27-62 other letters."""
-    global _symbols
-    if _symbols is None:
-        code = np.arange(0x110000)
-        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        _symbols = np.where(letter, 27 + code % 36, 0).astype(np.int32)
-        _symbols[97:123] = np.arange(1, 27)
-    return _symbols
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    global _letters
+    if _letters is None:
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _letters
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """All n-grams of one, two and three symbols; 0 marks a word end. Empty without letters."""
+def symbols(raw: bytes) -> np.ndarray:
+    """Code points of the letters in lower case, one END around and between words."""
     text = raw.decode("utf-8", "replace").lower()
-    ids = symbols()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
-    x = np.zeros(len(ids) + 2, np.int32)
-    x[1:-1] = ids
+    ids = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    x = np.full(len(ids) + 2, END, np.int64)
+    x[1:-1] = np.where(letters()[ids], ids, END)
     keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
-    x = x[keep]
+    keep[1:] = (x[1:] != END) | (x[:-1] != END)
+    return x[keep]
+
+
+def ngrams(x: np.ndarray) -> np.ndarray:
+    """All n-grams of one, two and three symbols. Empty without letters."""
     if len(x) < 3:
         return x[:0]
-    two = x[:-1] * SYMBOLS + x[1:]
-    three = (two[:-1] * SYMBOLS + x[2:])[x[1:-1] != 0]
-    return np.concatenate((x[x != 0], two + SYMBOLS, three + (SYMBOLS + SYMBOLS**2)))
+    two = (x[:-1] << _BITS) | x[1:]
+    three = ((two[:-1] << _BITS) | x[2:])[x[1:-1] != END]
+    return np.concatenate((x[x != END], two, three))
+
+
+def grams(raw: bytes) -> np.ndarray:
+    return ngrams(symbols(raw))
 
 
 def most_frequent(found: np.ndarray, limit: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams in order; equal counts by n-gram."""
     gram, count = np.unique(found, return_counts=True)
-    key = -(count.astype(np.int64) * GRAMS * 2 - gram)
+    key = np.arange(len(gram)) - count.astype(np.int64) * len(gram)
     if len(key) > limit:
         nearest = np.argpartition(key, limit - 1)[:limit]
         return gram[nearest[np.argsort(key[nearest])]]
@@ -78,15 +85,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int
     """Profile of every language over all rows; at most `profile` n-grams each reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def flush():
-            for name, counts in held.items():
-                seen = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(counts[seen])],
-                    names=["lang", "gram", "n"],
-                )
+            for name, (gram, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
@@ -96,17 +99,21 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int
                 for name, raw in zip(langs[first:], texts):
                     by.setdefault(name, []).append(grams(raw))
                 for name, parts in by.items():
-                    if name not in held:
-                        if len(held) >= 64:
-                            yield from flush()
-                        held[name] = np.zeros(GRAMS, np.int64)
-                    held[name] += np.bincount(np.concatenate(parts), minlength=GRAMS)
+                    gram, n = np.unique(np.concatenate(parts), return_counts=True)
+                    if name in held:
+                        gram, place = np.unique(np.concatenate((held[name][0], gram)), return_inverse=True)
+                        total = np.zeros(len(gram), np.int64)
+                        np.add.at(total, place, np.concatenate((held[name][1], n)))
+                        n = total
+                    held[name] = gram, n.astype(np.int64)
+                    if sum(len(g) for g, _ in held.values()) > HELD:
+                        yield from flush()
         yield from flush()
 
     counted = (
         docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-        .mapInArrow(count, "lang string, gram int, n bigint")
+        .mapInArrow(count, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -114,19 +121,36 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int
     out: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
         out.setdefault(r["lang"], []).append((r["place"], r["gram"]))
-    return {name: np.array([g for _, g in sorted(out[name])], np.int32) for name in sorted(out)}
+    return {name: np.array([g for _, g in sorted(out[name])], np.int64) for name in sorted(out)}
+
+
+class Ranks:
+    """Place of every n-gram in every profile, read as [profile, n-gram]; `profile` where it is absent."""
+
+    def __init__(self, profiles: dict[str, np.ndarray], profile: int):
+        self.gram = np.unique(np.concatenate([np.zeros(0, np.int64), *profiles.values()]))
+        self.place = np.full((len(profiles), len(self.gram) + 1), profile, np.int16)
+        for row, own in enumerate(profiles.values()):
+            self.place[row, np.searchsorted(self.gram, own)] = np.arange(len(own))
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        row, gram = at
+        if not len(self.gram):
+            return self.place[row, np.zeros_like(gram)]
+        column = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
+        return self.place[row, np.where(self.gram[column] == gram, column, len(self.gram))]
+
+
+def ranks(profiles: dict[str, np.ndarray], profile: int = PROFILE) -> Ranks:
+    return Ranks(profiles, profile)
 
 
-def ranks(profiles: dict[str, np.ndarray], profile: int = PROFILE) -> np.ndarray:
-    """Place of every n-gram in every profile, `profile` where it is absent."""
-    table = np.full((len(profiles), GRAMS), profile, np.int16)
-    for row, name in enumerate(profiles):
-        table[row, profiles[name]] = np.arange(len(profiles[name]))
-    return table
+def nearest(raw: bytes, names: list[str], table: Ranks, profile: int = PROFILE) -> tuple[str, float]:
+    return nearest_profile(ngrams(symbols(raw)), names, table, profile)
 
 
-def nearest(raw: bytes, names: list[str], table: np.ndarray, profile: int = PROFILE) -> tuple[str, float]:
-    own = most_frequent(grams(raw), profile)
+def nearest_profile(found: np.ndarray, names: list[str], table: Ranks, profile: int = PROFILE) -> tuple[str, float]:
+    own = most_frequent(found, profile)
     if not len(own) or not names:
         return UNDECIDED, 0.0
     place = table[:, own].astype(np.int32)
