@@ -10,6 +10,11 @@ An n-gram is its code points in 21 bits each, so n-grams of any scripts stay
 apart. Tasks count them in sorted arrays of HELD n-grams at most, Spark adds these
 up, and only the profiles reach the driver.
 
+The pipeline keeps a text whose score reaches a share (NEAR) of what is usual for
+texts of its language and length: the median over the beginnings of all labelled
+texts, cut at PIECES letters. A text is held against the longest piece that is no
+longer than itself; one of fewer letters than the shortest must reach MIN_SCORE.
+
 Defined cases: a null text, an empty one or one without letters is `und` with
 score 0, and so is every text if nothing could be learned. Equal distances go to
 the smaller language name, equal n-gram counts to the smaller n-gram. Repeated
@@ -30,7 +35,9 @@ from pyspark.sql import types as T
 from diamondlap.llm.text import byte_slices
 
 PROFILE = 300
-MIN_SCORE = 0.02  # the pipeline rejects what is farther than this from every profile
+MIN_SCORE = 0.02  # the pipeline rejects what scores less against every profile, however short
+PIECES = (3, 8, 32, 128, 512, 2048)  # letters of the pieces by which the pipeline learns what clean texts score
+NEAR = 0.5  # share of the usual score that a text as long as the piece must reach
 UNDECIDED = "und"
 HELD = 1_000_000  # n-grams a task counts before it passes them on
 END = 1  # marks a word end; no letter
@@ -190,20 +197,75 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     return predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+def beginning(x: np.ndarray, n: int) -> np.ndarray | None:
+    """The words of x that hold its first n letters; None if it has fewer."""
+    at = np.flatnonzero(x != END)
+    if len(at) < n:
+        return None
+    ends = np.flatnonzero(x == END)
+    return x[: ends[np.searchsorted(ends, at[n - 1])] + 1]
+
+
+def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> np.ndarray:
+    """What a text must score, by language (as in profiles) and length (as in PIECES)."""
+    names = list(profiles)
+    steps = 100
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks(profiles)
+        seen = np.zeros((len(names), len(PIECES), steps + 1), np.int64)
+        for batch in batches:
+            for _, texts in byte_slices(batch.column(0)):
+                for raw in texts:
+                    x = symbols(raw[: 16 * PIECES[-1]])
+                    for k, n in enumerate(PIECES):
+                        piece = beginning(x, n)
+                        if piece is None:
+                            break
+                        name, score = nearest_profile(ngrams(piece), names, table)
+                        seen[names.index(name), k, int(score * steps)] += 1
+        row, k, step = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (row, k, step, seen[row, k, step])], names=["row", "piece", "step", "n"])
+
+    out = np.full((len(names), len(PIECES)), MIN_SCORE)
+    if not names:
+        return out
+    seen = np.zeros((len(names), len(PIECES), steps + 1), np.int64)
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text)
+    counted = labelled.mapInArrow(count, "row bigint, piece bigint, step bigint, n bigint")
+    for r in counted.groupBy("row", "piece", "step").agg(F.sum("n").alias("n")).collect():
+        seen[r["row"], r["piece"], r["step"]] = r["n"]
+    for row in range(len(names)):
+        for k in range(len(PIECES)):
+            total = np.cumsum(seen[row, k])
+            if total[-1]:
+                out[row, k] = max(MIN_SCORE, NEAR * int(np.searchsorted(total, (total[-1] + 1) // 2)) / steps)
+            elif k:  # no labelled text is as long: held against the longest there is
+                out[row, k] = out[row, k - 1]
+    return out
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language can be told, with all their columns as they are.
 
     Learned from all labelled documents. Rejects those without a letter and those
-    far from every profile. Repeated rows are judged alike.
+    far from every profile for their length. Repeated rows are judged alike.
     """
     profiles = learn(docs)
     names = list(profiles)
+    least = least_scores(docs, profiles)
     schema, at = docs.schema, docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(profiles)
         for batch in batches:
-            found = [nearest(raw, names, table) for _, texts in byte_slices(batch.column(at)) for raw in texts]
-            yield batch.filter(pa.array([name != UNDECIDED and score >= min_score for name, score in found], pa.bool_()))
+            keep = []
+            for _, texts in byte_slices(batch.column(at)):
+                for raw in texts:
+                    x = symbols(raw)
+                    name, score = nearest_profile(ngrams(x), names, table)
+                    size = int(np.searchsorted(PIECES, int((x != END).sum()), "right")) - 1
+                    keep.append(name != UNDECIDED and score >= (least[names.index(name), size] if size >= 0 else MIN_SCORE))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(judge, schema)

@@ -1,10 +1,12 @@
 """Cases of the second review."""
 
+import hashlib
 import random
 
 import numpy as np
+import pytest
 
-from diamondlap.llm import language_id
+from diamondlap.llm import chat, language_id, ngram_join, secret_scan
 
 
 def han(seed, n, start, words=60):
@@ -41,3 +43,32 @@ def test_n_grams_are_counted_in_full(docs, monkeypatch):
     assert list(whole["a"]) == [int(g) for _, g in sorted(zip(-count, found))[: language_id.PROFILE]]
     monkeypatch.setattr(language_id, "HELD", 10)
     assert list(language_id.learn(frame)["a"]) == list(whole["a"])
+
+
+LONG_JUNK = {
+    "gibberish": lambda rnd: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500)),
+    "gibberish words": lambda rnd: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(80)),
+    "mash": lambda rnd: "".join(rnd.choice("asdfjkl;ghqwe ") for _ in range(400)),
+    "one letter": lambda rnd: "x" * 500,
+    "hex": lambda rnd: "".join(rnd.choice("0123456789abcdef") for _ in range(1000)),
+    "russian": lambda rnd: "Погода сегодня хорошая и люди гуляют по городу. " * 3,
+    "greek": lambda rnd: "Ο καιρός είναι καλός σήμερα",
+    "arabic": lambda rnd: "الطقس جميل اليوم",
+    "chinese": lambda rnd: "今天天气很好人们在城里散步",
+    "japanese": lambda rnd: "きょうはてんきがいいです",
+    "finnish": lambda rnd: "tämä on suomenkielinen teksti joka kertoo säästä ja ihmisistä kaupungissa " * 2,
+}
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_texts_far_from_every_language_go_and_clean_ones_stay(docs, table, labelled):
+    """Planted among the documents, without a label and with a wrong one."""
+    rnd = random.Random(5)
+    own = [(r["doc_id"], r["text"], r["lang"]) for r in table("documents").collect()]
+    junk = [(10_000 + k, make(rnd), "en" if labelled else None) for k, make in enumerate(LONG_JUNK.values())]
+    clean = ["the", "of the and", "the cat sat on the mat", "le chat est sur la table", "der Mann und die Frau", "los de la casa"]
+    clean = [(20_000 + k, t, None) for k, t in enumerate(clean)]
+    kept = {r["doc_id"] for r in language_id.keep_identified(docs(own + junk + clean)).collect()}
+    assert {d for d, t, _ in own if any(c.isalpha() for c in t or "")} <= kept
+    assert {d for d, _, _ in clean} <= kept
+    assert not {d for d, _, _ in junk} & kept
