@@ -4,9 +4,11 @@ Base kinds are patterns (assign, access, hex). The method adds strings that look
 random: over each candidate string a window of WINDOW characters slides, the
 counts of its characters are updated by the one that enters and the one that
 leaves, and with them the window's Shannon entropy. Windows at or above the
-threshold of their character class (hex, base64) make up a span. Candidates on
-the allow list (plain words, plain numbers, UUIDs, runs of one character, digit
-or letter sequences, placeholders) are left out; base spans stay.
+threshold of their character class (hex, base64) make up a span. Listed parts
+(digit, letter and keyboard sequences, placeholders, `data/` at the beginning,
+two or more directories of small letters) are cut out of a candidate, and each
+piece between them is judged as if it stood alone: pieces that are plain words,
+plain numbers, UUIDs or repetitions are left out. Base spans stay.
 
 Spans are code points, end exclusive, ordered by start, then kind in the order
 of KINDS, then end.
@@ -41,8 +43,8 @@ CLASSES = {  # kind: (candidate pattern, what it must hold as well, least entrop
 }
 ALLOWED = (
     r"^[A-Za-z_=/+-]+$", r"^[0-9_=/+-]+$", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"^(.{1,4})\1+.{0,3}$",
-    r"(?i)0123456789|abcdefghij|qwertyuiop", r"(?i)example|placeholder|x{6}|changeme", r"^data/|/[a-z]+/[a-z]+/",
 )
+LISTED = r"(?i:0123456789|abcdefghij|qwertyuiop|example|placeholder|x{6,}|changeme)|^data/|(?:/[a-z]+){2,}/"
 
 SPAN = "struct<start:int,rank:int,end:int>"
 _BLOCK = 64
@@ -160,18 +162,34 @@ def _random_spans(text: Column, hits: Column, kind: str) -> Column:
     pattern, holds, least = CLASSES[kind]
 
     def suspicious(m: Column) -> Column:
-        ok = m["hit"].rlike(holds)
+        ok = (F.length(m["hit"]) >= WINDOW) & m["hit"].rlike(holds)
         for allowed in ALLOWED:
             ok = ok & ~m["hit"].rlike(allowed)
         return ok
 
+    def pieces(m: Column) -> Column:
+        """What lies before, between and behind the listed parts."""
+
+        def piece(listed: Column, i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(listed, i - 1)["end"])
+            end = F.when(i == F.size(listed), F.length(m["hit"])).otherwise(F.get(listed, i)["start"])
+            return F.struct(
+                (m["start"] + begin).cast("int").alias("start"), (m["start"] + end).cast("int").alias("end"),
+                F.substr(m["hit"], begin + 1, end - begin).alias("hit"),
+            )
+
+        listed = matches(m["hit"], F.regexp_extract_all(m["hit"], F.lit(LISTED), F.lit(0)), LISTED)
+        cut = let(listed, lambda x: F.transform(F.sequence(F.lit(0), F.size(x)), lambda i: piece(x, i)))
+        return F.when(m["hit"].rlike(LISTED), cut).otherwise(F.array(m))
+
     def spans(m: Column) -> Column:
         return F.transform(
             random_windows(m["hit"], least),
             lambda w: F.struct((m["start"] + w["a"]).cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (m["start"] + w["b"]).cast("int").alias("end")),
         )
 
-    return F.flatten(F.transform(F.filter(matches(text, hits, pattern), suspicious), spans))
+    candidates = F.filter(matches(text, hits, pattern), lambda m: m["hit"].rlike(holds))
+    return F.flatten(F.transform(F.filter(F.flatten(F.transform(candidates, pieces)), suspicious), spans))
 
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:

@@ -72,3 +72,29 @@ def test_texts_far_from_every_language_go_and_clean_ones_stay(docs, table, label
     assert {d for d, t, _ in own if any(c.isalpha() for c in t or "")} <= kept
     assert {d for d, _, _ in clean} <= kept
     assert not {d for d, _, _ in junk} & kept
+
+
+# --- secrets ---------------------------------------------------------------
+
+KEY = "9fKx82LmQz7TnB4vR1pWc3Yd"
+BASE64 = "kJ8s0QzL2mNv9XbT4rWcE7yH1uGdPaF6"
+GLUED = [
+    f"https://h.io/api/keys/{KEY}", f"auth_example={KEY}", f"x {BASE64}/ab/cd/{KEY} y", f"x {BASE64}abcdefghij{KEY} y",
+    f"data/{KEY}", f"{KEY}_placeholder", f"/home/user/{KEY}/more/of/it", f"0123456789{KEY}xxxxxxxx{BASE64}",
+]
+HARMLESS = ["/usr/share/doc/Readme1", "this_is_an_Example1_of_a_key", "data/train/en/Part1", "xxxxxxxxxxxxxxxxxxxxxxxxA1b", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+
+
+def test_keys_glued_to_listed_text_are_found(docs):
+    rows = list(enumerate(GLUED + HARMLESS))
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(rows)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(rows)).collect()}
+    for k, text in rows:
+        if text in HARMLESS:
+            assert found[k] == "" and masked[k] == text
+            continue
+        assert "[SECRET]" in masked[k] and KEY not in masked[k] and BASE64 not in masked[k]
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in found[k].split(","))]
+        for key in (KEY, BASE64):
+            at = text.find(key)
+            assert at < 0 or any(a <= at and at + len(key) <= b for a, b in spans)
