@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diamondlap.llm.graph import components, join_within, small
 from diamondlap.llm.text import SIMILARITY, WORDS, byte_slices, mix, prefix_hash, shingles, span_hash, word_hashes
@@ -175,13 +176,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
     return found.select("text", "node", "weight", "cluster").mapInArrow(run, "cluster bigint, node bigint, weight bigint, shingles binary")
 
 
-def join_similar(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row per document: copy_key, n_links (other documents of similarity >= threshold, copies
-    included) and class_id, the least doc_id it hangs together with over such links."""
+def linked(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """join_similar() and, for every class of copies, the class that stays of those it hangs together
+    with: `stays` among documents with a doc_id, `stays_null` among those without."""
     described = stage(describe(docs, prefix_length(threshold, recall)), "described")
     classes = stage(
         described.where("node is not null").groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first("marks").alias("marks")), "classes",
+        .agg(F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.count("*").alias("weight"), F.first("marks").alias("marks")), "classes",
     )
     candidates = join_within(branches(classes), "branch", BRANCH, alike_marks(threshold - MARGIN))
     clusters = components(candidates.select("node", "root")).withColumnRenamed("root", "cluster")
@@ -190,31 +191,66 @@ def join_similar(docs: DataFrame, threshold: float = SIMILARITY, recall: float =
     links = stage(join_within(sets, "cluster", CLUSTER, alike_sets(threshold)), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = stage(components(links.select("node", "root")), "roots")
-    ids = roots.join(wanted.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
-    known = classes.select("node", "first_id", "weight").join(counts, "node", "left").join(roots, "node", "left").join(ids, "root", "left")
+    own = F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))
+    own_null = F.when(F.col("no_id"), F.col("node"))
+    ids = roots.join(classes.select("node", "first_id", "no_id"), "node").groupBy("root").agg(
+        F.min("first_id").alias("class_id"), F.min(own)["node"].alias("stays"), F.min(own_null).alias("stays_null")
+    )
+    known = classes.select("node", "first_id", "no_id", "weight").join(counts, "node", "left").join(roots, "node", "left").join(ids, "root", "left")
     known = known.select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("root").isNull(), own["node"]).otherwise(F.col("stays")).alias("stays"),
+        F.when(F.col("root").isNull(), own_null).otherwise(F.col("stays_null")).alias("stays_null"),
     )
     return described.select("doc_id", "node").join(known, "node", "left").select(
         "doc_id", F.col("node").alias("copy_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "stays", "stays_null",
     )
 
 
+def join_similar(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row per document: copy_key, n_links (other documents of similarity >= threshold, copies
+    included) and class_id, the least doc_id it hangs together with over such links."""
+    return linked(docs, threshold, recall).drop("stays", "stays_null")
+
+
+def with_copy_key(docs: DataFrame, into: str) -> DataFrame:
+    """docs with the class key of each text, null without words."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [pa.array([], pa.int64())]
+            for _, texts in byte_slices(batch.column(at), SLICE):
+                hashes, bounds = word_hashes(texts)
+                keys.append(pa.array(class_keys(hashes, bounds), mask=np.diff(bounds) == 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(keys)], names=[*batch.schema.names, into])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One document of each class, the one with the least doc_id, with all its columns as they are.
 
-    Documents without doc_id stay. Of repeated rows with a doc_id one stays.
+    Rows are told apart by doc_id and words, so texts that only share a doc_id are
+    judged each. Of the documents of a class without doc_id one stays besides the
+    one with a doc_id. Of rows of the same doc_id and words one stays, the first by
+    its columns as JSON. Texts without a word all stay.
     """
-    found = stage(join_similar(docs, threshold).select("doc_id", "copy_key", "class_id"), "joined")
-    dropped = small(stage(found.where("doc_id != class_id").select("doc_id").distinct(), "dropped"))
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id = class_id and copy_key is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = stage(again, "again")
+    found = linked(docs, threshold, RECALL).where("copy_key is not null")
+    with_id = F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("class_id")) & (F.col("copy_key") == F.col("stays"))
+    without_id = F.col("doc_id").isNull() & (F.col("copy_key") == F.col("stays_null"))
+    keep = F.coalesce(with_id | without_id, F.lit(False)).alias("keep")
+    found = stage(found.select(F.col("doc_id").alias("_id"), F.col("copy_key").alias("_key"), keep), "joined")
+    same = (F.col("_copy_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    dropped = small(stage(found.where("not keep").select("_id", "_key").distinct(), "dropped"))
+    kept = with_copy_key(docs, "_copy_key").join(dropped, same, "left_anti")
+    again = stage(found.where("keep").groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "again")
     if again.isEmpty():
-        return kept
+        return kept.select(*docs.columns)
     again = small(again)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    )
+    row = F.struct(*docs.columns)
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", "_copy_key").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one.select("row.*").select(*docs.columns))

@@ -98,3 +98,33 @@ def test_keys_glued_to_listed_text_are_found(docs):
         for key in (KEY, BASE64):
             at = text.find(key)
             assert at < 0 or any(a <= at and at + len(key) <= b for a, b in spans)
+
+
+# --- n-gram Jaccard join ---------------------------------------------------
+
+def prose(seed, n):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_texts_that_share_an_id_are_judged_each(docs):
+    base, clean, one, two, other = (prose(k, 60) for k in range(5))
+    near = base + " and more"
+    rows = [(1, base), (2, near), (2, clean), (5, one), (5, two), (7, other), (7, other), (8, "..."), (8, "!")]
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(rows)).collect())
+    assert kept == sorted([(1, base), (2, clean), (5, one), (5, two), (7, other), (8, "..."), (8, "!")])
+
+
+def test_of_copies_without_id_one_stays(docs):
+    base, alone = prose(1, 60), prose(2, 60)
+    near = base + " and more"
+    rows = [(None, base), (None, base), (None, near), (None, alone), (3, near), (4, base), (None, None), (None, "")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(rows)).collect()]
+    assert (3, near) in kept and (None, alone) in kept and len(kept) == 5
+    assert sum(d is None and t in (base, near) for d, t in kept) == 1
+
+
+def test_which_of_equal_rows_stays_is_fixed(docs):
+    text = prose(1, 60)
+    for rows in ([(1, text), (1, text.upper())], [(1, text.upper()), (1, text)]):
+        assert [r["text"] for r in ngram_join.keep_one(docs(rows)).collect()] == [text.upper()]
