@@ -113,13 +113,9 @@ def header(role: str) -> str:
     return TURN + escape(role).replace("\n", "\\n") + "\n"
 
 
-def read_back(formatted: str, learned: tuple[str, ...] = LEARNED) -> list[tuple[str, str, str]]:
-    """(role, text, text under the loss mask) of every message in formatted text."""
-    out = []
-    for role, content in _MESSAGE.findall(formatted):
-        role, text = unescape(role), unescape(content)
-        out.append((role, text, text if role in learned else ""))
-    return out
+def read_back(formatted: str) -> list[tuple[str, str]]:
+    """(role, text) of every message in formatted text."""
+    return [(unescape(role), unescape(content)) for role, content in _MESSAGE.findall(formatted)]
 
 
 def text_part(text: Column) -> Column:
@@ -176,8 +172,8 @@ def format_messages(messages: DataFrame, learned: tuple[str, ...] = LEARNED) ->
     return in_order(rows, "turn", "role", "parts").mapInPandas(write, PIECE)
 
 
-def digests(pieces: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
-    """What reading the formatted conversations gives back, one row per conversation."""
+def digests(pieces: DataFrame) -> DataFrame:
+    """What reading the formatted conversations and their loss mask gives back, one row per conversation."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state = object(), None
@@ -188,25 +184,27 @@ def digests(pieces: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
         columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         for frame in frames:
             done = []
-            for conv_id, null, formatted in zip(frame["conv_id"], frame["null_id"], frame["formatted"]):
+            for conv_id, null, formatted, begin, end in zip(*(frame[c] for c in ("conv_id", "null_id", "formatted", "begin", "end"))):
                 key = None if null else int(conv_id)
                 if key != conv:
                     if state:
                         done.append(row())
                     conv, state = key, {"n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "length": 0}
-                for role, text, masked in read_back(formatted, learned):
+                for role, text in read_back(formatted):
                     state["n"] += 1
                     state["turns"].update(f"{role}\n{text}\n".encode())
-                    state["chars"] += len(masked)
-                    state["loss"].update(masked.encode())
+                masked = unescape(formatted[begin:end])
+                state["chars"] += len(masked)
+                state["loss"].update(masked.encode())
                 state["length"] += len(formatted)
             if done:
                 yield pd.DataFrame(done, columns=columns).astype({"conv_id": "Int64"})
         if state:
             yield pd.DataFrame([row()], columns=columns).astype({"conv_id": "Int64"})
 
-    rows = pieces.select(*key_columns(), "seq", "formatted")
-    return in_order(rows, "seq").select("conv_id", "null_id", "formatted").mapInPandas(
+    span = [F.coalesce(F.col(c) - F.col("start"), F.lit(0)).alias(n) for c, n in (("loss_start", "begin"), ("loss_end", "end"))]
+    rows = pieces.select(*key_columns(), "seq", "formatted", *span)
+    return in_order(rows, "seq").select("conv_id", "null_id", "formatted", "begin", "end").mapInPandas(
         read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 

@@ -128,3 +128,14 @@ def test_which_of_equal_rows_stays_is_fixed(docs):
     text = prose(1, 60)
     for rows in ([(1, text), (1, text.upper())], [(1, text.upper()), (1, text)]):
         assert [r["text"] for r in ngram_join.keep_one(docs(rows)).collect()] == [text.upper()]
+
+
+# --- chat ------------------------------------------------------------------
+
+def test_loss_digest_follows_the_mask(spark):
+    """Pieces whose mask covers other text than that of the role's."""
+    rows = [(1, 0, "<|turn|>user\nab<\\c<|end|>\n", 0, 14, 17), (1, 1, "<|turn|>assistant\nxyz<|end|>\n", 25, None, None)]
+    pieces = spark.createDataFrame(rows, "conv_id bigint, seq bigint, formatted string, start bigint, loss_start bigint, loss_end bigint")
+    got = chat.digests(pieces).collect()
+    whole = rows[0][2] + rows[1][2]
+    assert [(r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in got] == [(2, 2, hashlib.sha256(chat.unescape(whole[14:17]).encode()).hexdigest())]
