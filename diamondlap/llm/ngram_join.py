@@ -1,11 +1,10 @@
 """Similarity join of texts by the Jaccard similarity of their five-word shingles.
 
 Copies (texts of the same words in the same order) form one class first. A class
-is described by TREES paths of PATH MinHash values each, the branches of a MinHash
-LSH forest: sorted, the paths of a tree are a prefix trie. Classes are candidates
-if their paths agree on a prefix in some tree. The prefix is shortened from the
-whole path until a pair that is only just similar is found with the target
-recall; each branch then holds its candidates side by side.
+is described by TREES paths of PATH MinHash values each. Classes are candidates if
+their paths agree on a prefix in some tree. The prefix has one length for all
+branches (banding, not a forest that goes deeper branch by branch): the longest
+with which a pair that is only just similar is found with the target recall.
 
 Candidates whose signatures make similarity possible at all (MARGIN below the
 threshold, over five standard deviations) hang together in clusters, and within
