@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diamondlap.functions.scalars import ColumnOrName, as_col
+from diamondlap.sources.staging import stage
 
 
 def _names(by: str | Sequence[str]) -> list[str]:
@@ -87,14 +88,15 @@ def latest(df: DataFrame, by, ts: str) -> DataFrame:
 def rank_in_group(df: DataFrame, by, order: Sequence[Column], out: str = "rank") -> DataFrame:
     """Exact row_number per group, of any size.
 
-    All rows are sorted by range into slices of even size, whatever groups they
-    belong to; each group is numbered within each slice, and the rows it has in
+    All rows are sorted by range into slices, whatever groups they belong to,
+    and written once with the number of their slice: the bounds of a range
+    partitioning come from a sample, so a second one could cut elsewhere. From
+    the files each group is numbered within each slice, and the rows it has in
     the slices before are added. Groups bounded by nature (a race field) are
     better numbered by a plain window.
     """
     by = _names(by)
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that both readers see the same slices
-    placed = df.repartitionByRange(slices, *by, *order).withColumn("__slice", F.spark_partition_id())
+    placed = stage(df.repartitionByRange(*by, *order).withColumn("__slice", F.spark_partition_id()), "slices")
     sizes = placed.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__m"))
     earlier = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "__slice", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__before"))

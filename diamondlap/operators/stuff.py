@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from diamondlap.functions import codes
-from diamondlap.functions.groups import join_back, rank_in_group
+from diamondlap.functions.groups import join_back
 from diamondlap.functions.scalars import all_of, half_up, one_if, rate, ratio
 from diamondlap.operators.tendencies import pitch_context
 
@@ -189,17 +189,10 @@ def top_scores(scores: DataFrame, k: int = 20) -> DataFrame:
 
 def with_folds(features: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Contiguous folds per type in (season, pitcher) order, sizes differing by
-    at most one, the larger ones first."""
-    rows = _usable(features)
-    order = [F.col("season"), F.col("pitcher_id")]
-    ranked = rank_in_group(rows, "pitch_type_code", order, out="__r")
-    sizes = rows.groupBy("pitch_type_code").agg(F.count(F.lit(1)).alias("__n"))
-    at, small, extra = F.col("__r") - 1, F.floor(F.col("__n") / folds), F.col("__n") % folds
-    in_large = at < extra * (small + 1)
-    fold = F.when(in_large, F.floor(at / (small + 1))).otherwise(
-        extra + F.floor((at - extra * (small + 1)) / F.greatest(small, F.lit(1)))
-    )
-    return join_back(ranked, sizes, "pitch_type_code").withColumn("fold", fold.cast("int")).drop("__r", "__n")
+    at most one, the larger ones first. A type has one row per pitcher and
+    season, so a plain window holds it."""
+    order = Window.partitionBy("pitch_type_code").orderBy("season", "pitcher_id")
+    return _usable(features).withColumn("fold", F.ntile(folds).over(order) - 1)
 
 
 R2_SCHEMA = "pitch_type_code STRING, part STRING, n BIGINT, r2 DOUBLE"

@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import rows
+from helpers import rows
 from diamondlap.operators import flatten_f1 as f1, flatten_mlb as mlb, flatten_nascar as nascar, matchup
 from diamondlap.sources import landing, season_stats
 

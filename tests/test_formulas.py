@@ -3,9 +3,9 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from conftest import rows
+from helpers import rows
 from diamondlap.functions import codes, groups, scalars as s
 from diamondlap.operators import marcel, matchup, pitch_value as pv, racing, serve, tendencies as td
 
@@ -284,6 +284,25 @@ def test_rank_in_slices_equals_plain_rank(spark):
             assert got[i] == place
 
 
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_rank_in_slices_of_many_rows_with_payload(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        hot = F.when(F.col("id") % 3 > 0, 0).otherwise(F.xxhash64("id") % 50)  # two thirds in one group
+        df = spark.range(400_000).select(
+            hot.alias("g"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).alias("v"), "id", F.sha2(F.col("id").cast("string"), 256).alias("payload")
+        )
+        order = [F.col("v").desc(), F.col("id")]
+        got = groups.rank_in_group(df, "g", order)
+        want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order))).select("id", "want")
+        both = got.join(want, "id", "full")
+        assert both.where("rank is null or want is null or rank != want").count() == 0
+        assert got.count() == 400_000 and got.where(F.sha2(F.col("id").cast("string"), 256) != F.col("payload")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_group_helpers_keep_null_groups(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", 4.0)], "g STRING, v DOUBLE")
     out = rows(groups.attach_group_stats(df, "g", "v"), "g", "v")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from diamondlap.operators import pitch_value as pv, tendencies as td
 from diamondlap.plans import jobs
 from diamondlap.streaming import feeds as fd, games as live, race

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from diamondlap.operators import quality as q, stuff, validation
 from diamondlap.plans.tables import Tables
 from diamondlap.sources import sinks, staging
