@@ -1,23 +1,59 @@
 """Game documents to tables.
 
-`raw` holds game_pk, game_date and the document text in `data`. Every table is
-one select over the parsed document and names only the part of it that it needs.
+`raw` holds game_pk, game_date and the document text in `data`, or is what
+parse() made of it. Every table is one select over the parsed document and names
+only the part of it that it needs: from text that part alone is parsed, from
+parsed documents its columns alone are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from diamondlap.functions.scalars import no_nan, safe_float, safe_int, text_or_null
 from diamondlap.sources import schemas
+from diamondlap.sources.parsed import ParsedDocuments, merged, write_parsed
 
+Documents = DataFrame | ParsedDocuments
 
-def parsed(raw: DataFrame, schema: str) -> DataFrame:
+BROKEN = "_broken"
+KINDS = ("batting", "pitching", "fielding")
+
+
+def whole() -> T.StructType:
+    """All that any table reads of a document."""
+    return merged(
+        schemas.GAME_HEADER, schemas.GAME_INNINGS, schemas.GAME_AT_BATS, schemas.GAME_EVENTS, schemas.GAME_RUNNERS,
+        schemas.GAME_CREDITS, schemas.GAME_SIDES, schemas.GAME_SUMMARY, *(schemas.game_box(k) for k in KINDS),
+    )
+
+
+def parse(raw: DataFrame) -> ParsedDocuments:
+    """Parse each document once, with all that any table reads of it.
+
+    `readable` tells a JSON object from anything else. A field of another type than
+    expected is NULL and keeps nothing back; only documents the parser complains of are
+    looked at a second time, to tell these from broken ones.
+    """
+    schema = T.StructType([*whole().fields, T.StructField(BROKEN, T.StringType())])
+    rows = raw.select("game_pk", "game_date", "data", F.from_json("data", schema, {"columnNameOfCorruptRecord": BROKEN}).alias("d"))
+    sound = F.when(F.col(f"d.{BROKEN}").isNotNull(), F.try_parse_json("data").isNotNull()).otherwise(F.lit(True))
+    readable = F.coalesce(F.ltrim("data").startswith("{") & sound, F.lit(False))
+    found = rows.select("game_pk", "game_date", readable.alias("readable"), F.struct("d.gameData", "d.liveData").alias("d"))
+    return write_parsed(found.withColumn("d", F.when(F.col("readable"), F.col("d"))), ["d"], "games-parsed")
+
+
+def parsed(raw: Documents, schema: str) -> DataFrame:
+    if isinstance(raw, ParsedDocuments):
+        return raw.rows("d", schema).filter("readable").select("game_pk", "game_date", "d")
     return raw.select("game_pk", "game_date", F.from_json("data", schema).alias("d"))
 
 
-def rejects(raw: DataFrame) -> DataFrame:
+def rejects(raw: Documents) -> DataFrame:
     """Documents that are not readable JSON objects."""
+    if isinstance(raw, ParsedDocuments):
+        return raw.rows().filter("not readable").select("game_pk", F.lit("unreadable document").alias("reason"))
     bad = F.try_parse_json("data").isNull() | ~F.ltrim("data").startswith("{")
     return raw.filter(F.col("data").isNull() | bad).select("game_pk", F.lit("unreadable document").alias("reason"))
 
@@ -27,7 +63,7 @@ def fields(root: str, mapping: dict[str, str]) -> list[Column]:
     return [F.col(f"{root}.{path}").alias(name) for name, path in mapping.items()]
 
 
-def games(raw: DataFrame) -> DataFrame:
+def games(raw: Documents) -> DataFrame:
     return parsed(raw, schemas.GAME_HEADER).select(
         "game_pk", "game_date",
         *fields("d.gameData", {
@@ -55,11 +91,11 @@ def games(raw: DataFrame) -> DataFrame:
     )
 
 
-def plays(raw: DataFrame, schema: str) -> DataFrame:
+def plays(raw: Documents, schema: str) -> DataFrame:
     return parsed(raw, schema).select("game_pk", F.explode("d.liveData.plays.allPlays").alias("play"))
 
 
-def at_bats(raw: DataFrame) -> DataFrame:
+def at_bats(raw: Documents) -> DataFrame:
     return plays(raw, schemas.GAME_AT_BATS).select("game_pk", *fields("play", {
         "at_bat_index": "about.atBatIndex", "inning": "about.inning", "half_inning": "about.halfInning",
         "batter_id": "matchup.batter.id", "batter_name": "matchup.batter.fullName",
@@ -72,7 +108,7 @@ def at_bats(raw: DataFrame) -> DataFrame:
     }))
 
 
-def pitches(raw: DataFrame) -> DataFrame:
+def pitches(raw: Documents) -> DataFrame:
     """Pitch events; pitch_index is the place among all events of the at-bat."""
     events = plays(raw, schemas.GAME_EVENTS).select(
         "game_pk", F.col("play.about.atBatIndex").alias("at_bat_index"),
@@ -108,13 +144,13 @@ def pitches(raw: DataFrame) -> DataFrame:
     )
 
 
-def _runner_rows(raw: DataFrame, schema: str) -> DataFrame:
+def _runner_rows(raw: Documents, schema: str) -> DataFrame:
     return plays(raw, schema).select(
         "game_pk", F.col("play.about.atBatIndex").alias("at_bat_index"), F.explode("play.runners").alias("r")
     )
 
 
-def runners(raw: DataFrame) -> DataFrame:
+def runners(raw: Documents) -> DataFrame:
     return _runner_rows(raw, schemas.GAME_RUNNERS).select("game_pk", "at_bat_index", *fields("r", {
         "play_index": "details.playIndex", "runner_id": "details.runner.id",
         "runner_name": "details.runner.fullName", "start_base": "movement.start", "end_base": "movement.end",
@@ -125,7 +161,7 @@ def runners(raw: DataFrame) -> DataFrame:
     }))
 
 
-def fielding_credits(raw: DataFrame) -> DataFrame:
+def fielding_credits(raw: Documents) -> DataFrame:
     return _runner_rows(raw, schemas.GAME_CREDITS).select("game_pk", "at_bat_index", F.explode("r.credits").alias("c")).select(
         "game_pk", "at_bat_index",
         *fields("c", {
@@ -135,7 +171,7 @@ def fielding_credits(raw: DataFrame) -> DataFrame:
     )
 
 
-def linescore(raw: DataFrame) -> DataFrame:
+def linescore(raw: Documents) -> DataFrame:
     """Half innings; an absent or empty half gives no row."""
     halves = F.explode(F.array(
         F.struct(F.lit("top").alias("half_inning"), F.col("i.away").alias("h")),
@@ -150,7 +186,7 @@ def linescore(raw: DataFrame) -> DataFrame:
     ).dropna(how="all", subset=["runs", "hits", "errors", "left_on_base"])
 
 
-def _players(raw: DataFrame, kind: str) -> DataFrame:
+def _players(raw: Documents, kind: str) -> DataFrame:
     sides = F.explode(F.array("d.liveData.boxscore.teams.away", "d.liveData.boxscore.teams.home"))
     return (
         parsed(raw, schemas.game_box(kind)).select("game_pk", sides.alias("side"))
@@ -163,7 +199,7 @@ def _players(raw: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _stat_rows(raw: DataFrame, kind: str, whole: dict[str, str], real: dict[str, str], *extra: Column) -> DataFrame:
+def _stat_rows(raw: Documents, kind: str, whole: dict[str, str], real: dict[str, str], *extra: Column) -> DataFrame:
     """One row per player with any stats of the kind."""
     stat = lambda key: F.try_element_at("s", F.lit(key))
     rows = _players(raw, kind).withColumn("s", F.col(f"stats.{kind}")).filter(F.size(F.coalesce("s", F.create_map())) > 0)
@@ -174,7 +210,7 @@ def _stat_rows(raw: DataFrame, kind: str, whole: dict[str, str], real: dict[str,
     )
 
 
-def box_batting(raw: DataFrame) -> DataFrame:
+def box_batting(raw: Documents) -> DataFrame:
     slot = (F.substring("slot", 1, 1).try_cast("int") * 100).alias("batting_order")
     return _stat_rows(raw, "batting", {
         "at_bats": "atBats", "runs": "runs", "hits": "hits", "doubles": "doubles", "triples": "triples",
@@ -185,7 +221,7 @@ def box_batting(raw: DataFrame) -> DataFrame:
     }, {"avg": "avg", "obp": "obp", "slg": "slg", "ops": "ops"}, slot)
 
 
-def box_pitching(raw: DataFrame) -> DataFrame:
+def box_pitching(raw: Documents) -> DataFrame:
     return _stat_rows(raw, "pitching", {
         "hits": "hits", "runs": "runs", "earned_runs": "earnedRuns", "walks": "baseOnBalls",
         "intentional_walks": "intentionalWalks", "strikeouts": "strikeOuts", "home_runs": "homeRuns",
@@ -197,7 +233,7 @@ def box_pitching(raw: DataFrame) -> DataFrame:
     }, {"innings_pitched": "inningsPitched", "era": "era", "whip": "whip"})
 
 
-def box_fielding(raw: DataFrame) -> DataFrame:
+def box_fielding(raw: Documents) -> DataFrame:
     return _stat_rows(raw, "fielding", {
         "assists": "assists", "put_outs": "putOuts", "errors": "errors", "chances": "chances",
         "caught_stealing": "caughtStealing", "passed_balls": "passedBall", "stolen_bases": "stolenBases",
@@ -205,7 +241,7 @@ def box_fielding(raw: DataFrame) -> DataFrame:
     }, {"fielding_pct": "fielding"})
 
 
-def batting_sides(raw: DataFrame) -> DataFrame:
+def batting_sides(raw: Documents) -> DataFrame:
     """Posted orders, pitchers and players per game side, for lineups."""
     teams = "d.liveData.boxscore.teams"
     player = lambda k, v: F.struct(v["person"]["fullName"].alias("name"), v["batSide"]["code"].alias("bats"))
@@ -224,7 +260,7 @@ def batting_sides(raw: DataFrame) -> DataFrame:
     )
 
 
-def explore_game(raw: DataFrame) -> DataFrame:
+def explore_game(raw: Documents) -> DataFrame:
     """What a stored document holds."""
     all_plays = F.col("d.liveData.plays.allPlays")
     thrown = F.flatten(F.transform(
@@ -251,15 +287,16 @@ TABLES = {
 }
 
 
-def flatten_mlb(raw: DataFrame, game_pk: int | None = None) -> dict[str, DataFrame]:
+def flatten_mlb(raw: Documents, game_pk: int | None = None) -> dict[str, DataFrame]:
     """All nine tables for one game or for all, and the unreadable documents.
 
-    A document that cannot be read yields no rows and one reject; it never
-    stops the others.
+    Documents are parsed once for all of them. One that cannot be read yields no
+    rows and one reject; it never stops the others.
     """
+    if isinstance(raw, DataFrame):
+        raw = parse(raw if game_pk is None else raw.filter(F.col("game_pk") == game_pk))
+        game_pk = None
+    tables = {**{name: build(raw) for name, build in TABLES.items()}, "rejects": rejects(raw)}
     if game_pk is not None:
-        raw = raw.filter(F.col("game_pk") == game_pk)
-    readable = raw.filter(F.try_parse_json("data").isNotNull())
-    tables = {name: build(raw) for name, build in TABLES.items()}
-    # An unreadable document explodes to nothing; only its header row needs keeping out.
-    return {**tables, "games": games(readable), "rejects": rejects(raw)}
+        tables = {name: rows.filter(F.col("game_pk") == game_pk) for name, rows in tables.items()}
+    return tables

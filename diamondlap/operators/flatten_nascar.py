@@ -1,16 +1,20 @@
 """Stock-car documents to tables.
 
-`raw` holds season, series_id, race_id, endpoint_type and the text in `data`.
-Only races with a weekend feed are flattened.
+`raw` holds season, series_id, race_id, endpoint_type and the text in `data`, or
+is what parse() made of it. Only races with a weekend feed are flattened.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from diamondlap.functions import codes
 from diamondlap.functions.scalars import json_root_is_array, map_code, safe_float, safe_int, text_or_null, trimmed
 from diamondlap.sources import schemas
+from diamondlap.sources.parsed import ParsedDocuments, write_parsed
+
+Documents = DataFrame | ParsedDocuments
 
 KEYS = ["race_id", "season", "series_id"]
 
@@ -19,21 +23,52 @@ def _endpoint(raw: DataFrame, endpoint: str) -> DataFrame:
     return raw.filter(F.col("endpoint_type") == endpoint)
 
 
-def _with_feed(raw: DataFrame, endpoint: str) -> DataFrame:
-    feeds = _endpoint(raw, "weekend_feed").select(*KEYS)
-    return _endpoint(raw, endpoint).join(feeds, KEYS, "left_semi")
+def _stops() -> Column:
+    """The root is either the list itself or an object holding it."""
+    return F.when(
+        json_root_is_array("data"), F.from_json("data", f"ARRAY<{schemas.PIT_STOP}>")
+    ).otherwise(F.from_json("data", f"pit_stops ARRAY<{schemas.PIT_STOP}>")["pit_stops"])
+
+
+def _stats() -> Column:
+    """An object root reads as a list of one."""
+    return F.get(F.from_json("data", f"ARRAY<STRUCT<{schemas.DRIVER_STATS.replace(' ', ': ', 1)}>>"), F.lit(0))
+
+
+#: How the text of an endpoint is read.
+READ = {
+    "weekend_feed": lambda: F.from_json("data", schemas.WEEKEND_FEED), "lap_times": lambda: F.from_json("data", schemas.LAP_TIMES),
+    "pit_stops": _stops, "driver_stats": _stats,
+}
+
+
+def parse(raw: DataFrame) -> ParsedDocuments:
+    """Parse each document once, as its endpoint asks for, into the column of that name."""
+    held = [F.when(F.col("endpoint_type") == name, read()).alias(name) for name, read in READ.items()]
+    return write_parsed(raw.filter(F.col("endpoint_type").isin(*READ)).select(*KEYS, "endpoint_type", *held), list(READ), "races-parsed")
+
+
+def _parsed(raw: Documents, endpoint: str, schema: T.DataType | str | None = None) -> DataFrame:
+    """Keys and the parsed documents, as `d`, of an endpoint; `schema` names what is read of them, if not all."""
+    if isinstance(raw, ParsedDocuments):
+        kind = schema or {"weekend_feed": schemas.WEEKEND_FEED, "lap_times": schemas.LAP_TIMES, "driver_stats": schemas.DRIVER_STATS}[endpoint]
+        return _endpoint(raw.rows(endpoint, kind), endpoint).select(*KEYS, F.col(endpoint).alias("d"))
+    return _endpoint(raw, endpoint).select(*KEYS, READ[endpoint]().alias("d"))
+
 
+def _with_feed(raw: Documents, endpoint: str, schema: T.DataType | str | None = None) -> DataFrame:
+    feeds = _endpoint(raw.rows() if isinstance(raw, ParsedDocuments) else raw, "weekend_feed").select(*KEYS)
+    return _parsed(raw, endpoint, schema).join(feeds, KEYS, "left_semi")
 
-def _first_race(raw: DataFrame) -> DataFrame:
-    d = F.from_json("data", schemas.WEEKEND_FEED)
+
+def _first_race(raw: Documents) -> DataFrame:
     return (
-        _endpoint(raw, "weekend_feed").select(*KEYS, d.alias("d"))
-        .select(*KEYS, F.get("d.weekend_race", F.lit(0)).alias("w"))
+        _parsed(raw, "weekend_feed").select(*KEYS, F.get("d.weekend_race", F.lit(0)).alias("w"))
         .filter(F.col("w").isNotNull())
     )
 
 
-def races(raw: DataFrame) -> DataFrame:
+def races(raw: Documents) -> DataFrame:
     whole = {
         "track_id": "track_id", "scheduled_laps": "scheduled_laps", "actual_laps": "actual_laps",
         "caution_count": "number_of_cautions", "caution_laps": "number_of_caution_laps",
@@ -52,7 +87,7 @@ def did_not_finish(status: Column) -> Column:
     return ~F.lower(F.coalesce(status, F.lit(""))).isin("running", "")
 
 
-def results(raw: DataFrame) -> DataFrame:
+def results(raw: Documents) -> DataFrame:
     rows = _first_race(raw).select(*KEYS, F.explode("w.results").alias("r"))
     whole = {
         "driver_id": "driver_id", "start_position": "starting_position", "finish_position": "finishing_position",
@@ -69,10 +104,9 @@ def results(raw: DataFrame) -> DataFrame:
     )
 
 
-def laps(raw: DataFrame) -> DataFrame:
+def laps(raw: Documents) -> DataFrame:
     """Driver laps; a lap without a number is left out."""
-    d = F.from_json("data", schemas.LAP_TIMES)
-    drivers = _with_feed(raw, "lap_times").select(*KEYS, F.explode(d["laps"]).alias("v"))
+    drivers = _with_feed(raw, "lap_times").select(*KEYS, F.explode("d.laps").alias("v"))
     return drivers.select(*KEYS, "v.NASCARDriverID", "v.FullName", "v.Number", F.explode("v.Laps").alias("l")).select(
         *KEYS, safe_int("NASCARDriverID").alias("driver_id"), F.col("FullName").alias("driver_name"),
         trimmed("Number").alias("car_number"), safe_int("l.Lap").alias("lap_number"),
@@ -81,28 +115,24 @@ def laps(raw: DataFrame) -> DataFrame:
     ).filter(F.col("lap_number").isNotNull())
 
 
-def pit_stops(raw: DataFrame) -> DataFrame:
-    """The root is either the list itself or an object holding it."""
-    stops = F.when(
-        json_root_is_array("data"), F.from_json("data", f"ARRAY<{schemas.PIT_STOP}>")
-    ).otherwise(F.from_json("data", f"pit_stops ARRAY<{schemas.PIT_STOP}>")["pit_stops"])
-    return _with_feed(raw, "pit_stops").select(*KEYS, F.explode(stops).alias("s")).select(
+def pit_stops(raw: Documents) -> DataFrame:
+    stops = T.ArrayType(T.StructType.fromDDL(schemas.PIT_STOP))
+    return _with_feed(raw, "pit_stops", stops).select(*KEYS, F.explode("d").alias("s")).select(
         *KEYS, F.lit(None).cast("int").alias("driver_id"), "s.driver_name",
         trimmed("s.vehicle_number").alias("car_number"), safe_int("s.pit_in_rank").alias("stop_number"),
         safe_int("s.lap_count").alias("lap"), safe_float("s.total_duration").alias("duration_seconds"),
     )
 
 
-def lead_changes(raw: DataFrame) -> DataFrame:
+def lead_changes(raw: Documents) -> DataFrame:
     return _first_race(raw).select(*KEYS, F.explode("w.race_leaders").alias("l")).select(
         *KEYS, safe_int("l.start_lap").alias("lap"), trimmed("l.car_number").alias("car_number")
     )
 
 
-def driver_stats(raw: DataFrame) -> DataFrame:
-    """Loop statistics; an object root reads as a list of one."""
-    d = F.get(F.from_json("data", f"ARRAY<STRUCT<{schemas.DRIVER_STATS.replace(' ', ': ', 1)}>>"), F.lit(0))
-    return _with_feed(raw, "driver_stats").select(*KEYS, F.explode(d["drivers"]).alias("s")).select(
+def driver_stats(raw: Documents) -> DataFrame:
+    """Loop statistics."""
+    return _with_feed(raw, "driver_stats").select(*KEYS, F.explode("d.drivers").alias("s")).select(
         *KEYS, safe_int("s.driver_id").alias("driver_id"), safe_float("s.avg_ps").alias("avg_running_position"),
         safe_int("s.fast_laps").alias("fastest_lap_number"), safe_int("s.quality_passes").alias("quality_passes"),
         safe_int("s.passes_gf").alias("green_flag_passes"), safe_int("s.passed_gf").alias("green_flag_passed"),
@@ -186,7 +216,9 @@ TABLES = {
 
 
 def flatten_nascar(raw: DataFrame, season: int | None = None, series_id: int | None = None, race_id: int | None = None) -> dict[str, DataFrame]:
+    """All tables of the chosen races; documents are parsed once for all of them."""
     for name, value in (("season", season), ("series_id", series_id), ("race_id", race_id)):
         if value is not None:
             raw = raw.filter(F.col(name) == value)
-    return {name: build(raw) for name, build in TABLES.items()}
+    docs = parse(raw)
+    return {name: build(docs) for name, build in TABLES.items()}

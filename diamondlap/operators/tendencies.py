@@ -31,6 +31,19 @@ def pitch_context(
     return p.join(a.join(g, "game_pk"), ["game_pk", "at_bat_index"]).select(*columns)
 
 
+def game_scope(
+    season: int | None = None, start: str | None = None, end: str | None = None, game_pk: int | None = None,
+    game_types: Sequence[str] | None = ("R", "S"),
+) -> Column | None:
+    """The condition on games that a scope stands for; none if it holds all."""
+    return all_of([
+        F.col("game_type").isin(*game_types) if game_types is not None else None,
+        F.col("season") == season if season is not None else None,
+        between_dates("game_date", start, end),
+        F.col("game_pk") == game_pk if game_pk is not None else None,
+    ])
+
+
 def load_pitches(
     pitches: DataFrame, at_bats: DataFrame, games: DataFrame, season: int | None = None,
     start: str | None = None, end: str | None = None, game_pk: int | None = None,
@@ -49,12 +62,7 @@ def load_pitches(
             "pfx_z", "batter_id", batted("launch_speed"), batted("launch_angle"),
             batted("event_type"),
         ],
-        games_where=all_of([
-            F.col("game_type").isin(*game_types) if game_types is not None else None,
-            F.col("season") == season if season is not None else None,
-            between_dates("game_date", start, end),
-            F.col("game_pk") == game_pk if game_pk is not None else None,
-        ]),
+        games_where=game_scope(season, start, end, game_pk, game_types),
         at_bats_where=F.col("batter_id").isNotNull(),
         pitches_where=F.col("pitch_type_code").isin(*pitch_types) & F.col("call_code").isNotNull(),
     )

@@ -1,6 +1,7 @@
 """Feed documents built from the given tables, one small document per row.
 
-No document gathers a group, so building them scales like the scan itself.
+Only played_documents() gathers a group, the line items of an order; all others
+scale like the scan itself.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def _player(pid: str, offset: int) -> str:
     )
 
 
-def game_documents(t: Tables) -> DataFrame:
-    """One game document per order: header, innings and box score."""
+def game_documents(t: Tables, plays: str = "") -> DataFrame:
+    """One game document per order: header, innings and box score, and `plays` if given, SQL of more fields of liveData."""
     club = lambda key: f"named_struct('id', CAST({key} % 30 AS INT), 'name', concat('Club ', CAST({key} % 30 AS STRING)), 'abbreviation', concat('T', CAST({key} % 30 AS STRING)))"
     side = lambda key, base: (
         f"named_struct('team', named_struct('id', CAST({key} % 30 AS INT)), "
@@ -55,7 +56,7 @@ def game_documents(t: Tables) -> DataFrame:
             "'venue', named_struct('id', CAST(o_custkey % 50 AS INT), 'name', concat('Park ', CAST(o_custkey % 50 AS STRING))), "
             "'weather', named_struct('temp', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE CAST(50 + o_orderkey % 50 AS STRING) END, 'condition', 'Clear'), "
             "'flags', named_struct('noHitter', o_orderkey % 100 = 0)), "
-            "'liveData', named_struct('linescore', named_struct('currentInning', 9, 'scheduledInnings', 9, "
+            "'liveData', named_struct(" + plays + "'linescore', named_struct('currentInning', 9, 'scheduledInnings', 9, "
             "'teams', named_struct('away', named_struct('runs', CAST(o_custkey % 8 AS INT)), 'home', named_struct('runs', CAST(o_custkey % 6 AS INT), 'errors', 1)), "
             "'innings', array("
             "named_struct('num', 1, 'away', named_struct('runs', CAST(o_custkey % 3 AS INT), 'hits', 1), 'home', named_struct('runs', CAST(o_custkey % 4 AS INT), 'hits', 2)), "
@@ -67,6 +68,79 @@ def game_documents(t: Tables) -> DataFrame:
     )
 
 
+def full_game_documents(t: Tables) -> DataFrame:
+    """Game documents with plays as well: one with a pitch and runners, and for every second game one without.
+    Every 97th text breaks off."""
+    play = (
+        "named_struct('about', named_struct('atBatIndex', {n}, 'halfInning', 'top'), "
+        "'matchup', named_struct('batter', named_struct('id', CAST(o_custkey AS INT)), 'pitcher', named_struct('id', CAST(o_custkey + 1 AS INT))), "
+        "'playEvents', {events}, 'runners', {runners})"
+    )
+    events = (
+        "array(named_struct('isPitch', FALSE, 'details', named_struct('code', '1', 'type', named_struct('code', CAST(NULL AS STRING)))), "
+        "named_struct('isPitch', TRUE, 'details', named_struct('code', 'C', 'type', named_struct('code', 'FF'))))"
+    )
+    credit = lambda who, kind: f"named_struct('player', named_struct('id', CAST({who} AS INT)), 'position', named_struct('code', '6'), 'credit', '{kind}')"
+    runner = "named_struct('movement', named_struct('end', '{base}'), 'details', named_struct('runner', named_struct('id', CAST(o_custkey AS INT))), 'credits', {credits})"
+    credits = f"array({credit('o_custkey', 'f_assist')}, {credit('o_custkey + 1', 'f_putout')})"
+    runners = (
+        f"array({runner.format(base='1B', credits=credits)}, "
+        f"{runner.format(base='2B', credits='NULL')})"
+    )
+    full, bare = play.format(n=0, events=events, runners=runners), play.format(n=1, events="NULL", runners="NULL")
+    docs = game_documents(t, f"'plays', named_struct('allPlays', CASE WHEN o_orderkey % 2 = 0 THEN array({full}, {bare}) ELSE array({full}) END), ")
+    return docs.withColumn("data", F.when(F.col("game_pk") % 97 == 1, F.substring("data", 1, 60)).otherwise(F.col("data")))
+
+
+def played_documents(t: Tables, status: str = "status") -> DataFrame:
+    """One document per game of the domain views, with all its plays and pitches, so that scoring the
+    documents must give what scoring the views gives. `status` is SQL over the games."""
+    event = F.expr(
+        "named_struct('isPitch', TRUE, 'details', named_struct('code', call_code, 'isInPlay', is_in_play, 'type', named_struct('code', pitch_type_code)), "
+        "'pitchData', named_struct('startSpeed', start_speed, 'zone', zone, 'coordinates', named_struct('pfxX', pfx_x, 'pfxZ', pfx_z), "
+        "'breaks', named_struct('spinRate', CAST(spin_rate AS STRING))), 'hitData', named_struct('launchSpeed', launch_speed, 'launchAngle', launch_angle))"
+    )
+    events = t.pitches.groupBy("game_pk", "at_bat_index").agg(F.collect_list(event).alias("events"))
+    play = F.expr(
+        "named_struct('about', named_struct('atBatIndex', at_bat_index, 'inning', inning, 'halfInning', half_inning), 'result', named_struct('eventType', event_type), "
+        "'matchup', named_struct('batter', named_struct('id', CAST(batter_id AS INT), 'fullName', batter_name), "
+        "'pitcher', named_struct('id', CAST(pitcher_id AS INT), 'fullName', pitcher_name), 'batSide', named_struct('code', bat_side), "
+        "'pitchHand', named_struct('code', pitch_hand)), 'playEvents', events)"
+    )
+    plays = t.at_bats.join(events, ["game_pk", "at_bat_index"], "left").groupBy("game_pk").agg(F.collect_list(play).alias("plays"))
+    return t.games.join(plays, "game_pk", "left").select(
+        F.col("game_pk").cast("int").alias("game_pk"),
+        _json(
+            "named_struct('gamePk', game_pk, 'gameData', named_struct('game', named_struct('type', game_type, 'season', CAST(season AS STRING)), "
+            f"'datetime', named_struct('originalDate', game_date), 'status', named_struct('detailedState', {status})), "
+            "'liveData', named_struct('plays', named_struct('allPlays', plays)))"
+        ),
+        F.expr("CAST(concat(game_date, ' 12:00:00') AS TIMESTAMP)").alias("fetched_at"),
+    )
+
+
+def lineup_documents(t: Tables, turn: int) -> DataFrame:
+    """One document per order of a game that has not begun: two orders of batters, which
+    change with `turn`, and a starter on each side."""
+    batter = lambda k: f"CAST(80 + (o_orderkey * 7 + {k} + {turn}) % 160 AS INT)"
+    starter = lambda k: f"CAST((o_orderkey * 2 + {k}) % 80 AS INT)"
+    player = lambda b: f"concat('ID', CAST({b} AS STRING)), named_struct('person', named_struct('fullName', 'X'))"
+    side = lambda first, k: (
+        f"named_struct('battingOrder', array({batter(first)}, {batter(first + 1)}), 'pitchers', array({starter(k)}), "
+        f"'players', map({player(batter(first))}, {player(batter(first + 1))}))"
+    )
+    return _spread(t.base("orders")).select(
+        F.col("o_orderkey").cast("int").alias("game_pk"),
+        _json(
+            "named_struct('gamePk', o_orderkey, 'gameData', named_struct('game', named_struct('type', 'R', 'season', '2026'), "
+            "'datetime', named_struct('originalDate', concat('2026-', lpad(CAST(o_orderkey % 12 + 1 AS STRING), 2, '0'), '-01')), "
+            "'status', named_struct('detailedState', 'Preview')), "
+            f"'liveData', named_struct('boxscore', named_struct('teams', named_struct('away', {side(0, 0)}, 'home', {side(2, 1)}))))"
+        ),
+        F.expr(f"CAST('2026-01-0{turn + 1} 12:00:00' AS TIMESTAMP)").alias("fetched_at"),
+    )
+
+
 def play_documents(t: Tables) -> DataFrame:
     """One single-play game document per line item: a non-pitch event, then the
     pitch, and two runners of whom one has fielding credits."""

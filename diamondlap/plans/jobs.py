@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diamondlap.operators import flatten_f1, flatten_mlb, flatten_nascar, pitch_value as pv, quality, stuff, tendencies as td
 from diamondlap.sources import landing, sinks
+from diamondlap.sources.staging import stage
 from diamondlap.streaming import games as live
 
 
@@ -64,29 +65,34 @@ def grade_projections(spark: SparkSession, warehouse: str, projections: str, act
 
 
 def build_tendencies(spark: SparkSession, warehouse: str, seasons: Sequence[int] | None = None, min_type: int = 50, min_zone: int = 20) -> None:
-    """Replace the tendency tables of the given seasons, or of all."""
+    """Replace the tendency tables of the given seasons, or of all that have games or stored rows. A
+    season whose groups fall below the minimum has no rows any more."""
     pitches, at_bats, games = (table(spark, warehouse, n) for n in ("pitches", "at_bats", "games"))
-    sinks.overwrite_partitions(
-        td.pitch_type_tendencies(pitches, at_bats, games, seasons, min_type),
-        f"{warehouse}/batter_pitch_type_tendencies", ["season"],
-    )
-    sinks.overwrite_partitions(
-        td.zone_tendencies(pitches, at_bats, games, seasons, min_zone), f"{warehouse}/batter_zone_tendencies", ["season"],
-    )
+    for name, rows in (
+        ("batter_pitch_type_tendencies", td.pitch_type_tendencies(pitches, at_bats, games, seasons, min_type)),
+        ("batter_zone_tendencies", td.zone_tendencies(pitches, at_bats, games, seasons, min_zone)),
+    ):
+        path = f"{warehouse}/{name}"
+        if seasons is not None:
+            replaced = spark.createDataFrame([(s,) for s in seasons], "season INT")
+        else:
+            replaced = games.select("season").union(sinks.read_table(spark, path, "season INT").select("season")).distinct()
+        sinks.replace_scope(rows, path, ["season"], ["season"], keys=replaced)
 
 
 def score_range(
     spark: SparkSession, warehouse: str, season: int | None = None, start: str | None = None,
     end: str | None = None, game_pk: int | None = None,
 ) -> None:
-    """Score a season, a range of days or one game; only the games scored are
-    replaced. Types are normalised over the scope that was loaded."""
+    """Score a season, a range of days or one game; only the games chosen are
+    replaced, also those that have no scores any more. Types are normalised over the scope that was loaded."""
     pitches, at_bats, games = (table(spark, warehouse, n) for n in ("pitches", "at_bats", "games"))
     tt = table(spark, warehouse, "batter_pitch_type_tendencies")
     chosen = td.load_pitches(pitches, at_bats, games, season, start, end, game_pk)
     scope = ("season",) if game_pk is None else ("game_pk",)
     scores = pv.score_pitches(chosen, tt, td.linear_weights(spark), scope=scope)
-    sinks.replace_scope(scores, f"{warehouse}/pitch_quality_scores", ["season"], ["season", "game_pk"])
+    replaced = games.filter(td.game_scope(season, start, end, game_pk)).select("season", "game_pk")
+    sinks.replace_scope(scores, f"{warehouse}/pitch_quality_scores", ["season"], ["season", "game_pk"], keys=replaced)
 
 
 def train_stuff(spark: SparkSession, warehouse: str, seasons: Sequence[int] | None = None, min_pitches: int = 100) -> None:
@@ -113,18 +119,18 @@ def f1_weekend(spark: SparkSession, landing_dir: str, warehouse: str) -> DataFra
 
 
 def _land_and_flatten(new: DataFrame, warehouse: str, sport: str, land, scope: list[str], flatten) -> DataFrame:
+    """Documents and tables are stored by race or round, and only those that came are read and written."""
     spark = new.sparkSession
     raw_path, report_path = f"{warehouse}/{sport}/raw", f"{warehouse}/{sport}/last_report"
-    stored = sinks.read_table(spark, raw_path, new.schema)
-    touched = stored.join(new.select(*scope).distinct(), scope, "left_semi")
-    table_rows, report = land(new, touched)
+    came = stage(new.select(*scope).distinct(), "came")
+    table_rows, report = land(new, sinks.read_parts(spark, raw_path, new.schema, scope, came))
     report.write.mode("overwrite").parquet(report_path)
-    sinks.replace_scope(table_rows, raw_path, ["season"], scope)
-    raw = spark.read.schema(new.schema).parquet(raw_path).join(new.select(*scope).distinct(), scope, "left_semi")
+    sinks.replace_scope(table_rows, raw_path, scope, scope, keys=came)
+    raw = sinks.read_parts(spark, raw_path, new.schema, scope, came)
     for name, rows in flatten(raw).items():
         path = f"{warehouse}/{sport}/{name}"
         if set(scope) <= set(rows.columns):
-            sinks.replace_scope(rows, path, ["season"], scope)
+            sinks.replace_scope(rows, path, scope, scope, keys=came)
         else:
             key = [c for c in ("driver_id", "constructor_id") if c in rows.columns][:1]
             have = sinks.read_table(spark, path, rows.schema)

@@ -14,6 +14,7 @@ from diamondlap.functions import codes
 from diamondlap.functions.groups import first_per_key, with_keys
 from diamondlap.functions.scalars import json_root_is_array, safe_int
 from diamondlap.sources import schemas
+from diamondlap.sources.staging import stage
 
 RACE_KEYS = ["season", "series_id", "race_id", "endpoint_type"]
 ROUND_KEYS = ["season", "round", "source", "event_type"]
@@ -44,43 +45,79 @@ def game_header(new: DataFrame) -> DataFrame:
     )
 
 
-def _newest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Newest document per key; equal times fall back to a hash of the text."""
-    return first_per_key(df, keys, [F.col("fetched_at").desc_nulls_last(), F.xxhash64("data")])
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with `__id`, one per row, and `__digest` of the text, written once, so that the
+    choice between documents can be made without their texts."""
+    rows = docs.withColumn("__digest", F.xxhash64("data")).withColumn("__id", F.monotonically_increasing_id())
+    return stage(rows, "incoming")
 
 
-def land_games(new: DataFrame, existing: DataFrame, skip_final: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Upsert by game. A stored Final game is left as it is when skip_final.
+def _newest(rows: DataFrame, keys: Sequence[str], *others: str) -> DataFrame:
+    """Keys, id and digest of the newest document per key; equal times fall back to the digest."""
+    brief = rows.select(*keys, *others, "fetched_at", "__digest", "__id")
+    return first_per_key(brief, keys, [F.col("fetched_at").desc_nulls_last(), F.col("__digest"), F.col("__id")])
 
-    The report tells inserted, updated or skipped, and whether the game's
-    status is another than the stored one.
-    """
-    incoming = _newest(game_header(new).filter(F.col("game_pk").isNotNull()), ["game_pk"])
-    before = existing.select("game_pk", F.col("status").alias("__was"), F.lit(True).alias("__stored"))
+
+def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of numbered() with the given ids. The shorter list, of those wanted or of the
+    others, is sent to the texts; only where both are very long do texts move."""
+    wanted, held = ids.count(), rows.count()
+    if wanted * 2 <= held:
+        return rows.join(sized(ids.select("__id"), wanted), "__id", "left_semi")
+    others = stage(rows.select("__id").join(ids.select("__id"), "__id", "left_anti"), "left-out")
+    return rows.join(sized(others, held - wanted), "__id", "left_anti")
+
+
+def sized(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if it has no more than `most` rows (of a key or two)."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def judge_games(incoming: DataFrame, known: DataFrame, skip_final: bool = True) -> DataFrame:
+    """Per game of numbered() documents: the newest one's id and digest, the action and whether the
+    status changed. known holds game_pk and status of the stored games, and may hold digest."""
+    newest = _newest(incoming.filter(F.col("game_pk").isNotNull()), ["game_pk"], "status")
+    digest = F.col("digest") if "digest" in known.columns else F.lit(None).cast("bigint")
+    before = known.select("game_pk", F.col("status").alias("__was"), digest.alias("__had"), F.lit(True).alias("__stored"))
     done = F.lit(skip_final) & (F.col("__was") == "Final")
-    judged = incoming.join(before, "game_pk", "left").withColumn(
+    judged = newest.join(before, "game_pk", "left").withColumn(
         "action",
         F.when(F.col("__stored").isNull(), "inserted")
         .when(F.coalesce(done, F.lit(False)), "skipped").otherwise("updated"),
     )
-    report = judged.select(
-        "game_pk", "action",
-        ((F.col("action") != "skipped") & (F.col("__stored").isNull() | ~F.col("__was").eqNullSafe(F.col("status"))))
-        .alias("status_changed"),
+    changed = (F.col("action") != "skipped") & (F.col("__stored").isNull() | ~F.col("__was").eqNullSafe(F.col("status")))
+    return judged.select(
+        "game_pk", "action", changed.alias("status_changed"), "__id",
+        F.coalesce(F.col("__had") == F.col("__digest"), F.lit(False)).alias("same_text"),
     )
-    taken = judged.filter(F.col("action") != "skipped").select(*incoming.columns)
-    kept = existing.join(taken.select("game_pk"), "game_pk", "left_anti").select(*incoming.columns)
-    return kept.unionByName(taken), report
+
+
+def land_games(new: DataFrame, existing: DataFrame, skip_final: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Upsert by game. A stored Final game is left as it is when skip_final.
+
+    The report tells inserted, updated or skipped, and whether the game's
+    status is another than the stored one. Texts stay where they were read.
+    """
+    incoming = numbered(game_header(new))
+    judged = stage(judge_games(incoming, existing, skip_final), "judged")
+    columns = [c for c in incoming.columns if not c.startswith("__")]
+    used = judged.filter(F.col("action") != "skipped")
+    taken = with_ids(incoming, used).select(*columns)
+    kept = existing.join(sized(used.select("game_pk"), used.count()), "game_pk", "left_anti").select(*columns)
+    return kept.unionByName(taken), judged.select("game_pk", "action", "status_changed")
 
 
 def land_documents(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Upsert by a composite key, newest document last."""
-    incoming = _newest(new, keys)
-    report = incoming.select(*keys).join(
-        existing.select(*keys, F.lit(True).alias("__stored")), list(keys), "left"
-    ).select(*keys, F.when(F.col("__stored"), "updated").otherwise("inserted").alias("action"))
-    kept = existing.join(incoming.select(*keys), list(keys), "left_anti")
-    return kept.select(*incoming.columns).unionByName(incoming), report
+    """Upsert by a composite key, newest document last. Texts stay where they were read."""
+    incoming = numbered(new)
+    newest = stage(_newest(incoming, keys), "newest")
+    named = sized(newest.select(*keys), newest.count())
+    stored = existing.select(*keys).join(named, list(keys), "left_semi").distinct()
+    report = newest.select(*keys).join(stored.withColumn("__stored", F.lit(True)), list(keys), "left").select(
+        *keys, F.when(F.col("__stored"), "updated").otherwise("inserted").alias("action")
+    )
+    kept = existing.join(named, list(keys), "left_anti")
+    return kept.select(*new.columns).unionByName(with_ids(incoming, newest).select(*new.columns)), report
 
 
 def land_races(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from diamondlap.operators import pitch_value as pv, tendencies as td
 from diamondlap.plans import jobs
-from diamondlap.streaming import feeds as fd, games as live, race
+from diamondlap.streaming import feeds as fd, games as live, race, status
 
 HISTORY = "driver_name STRING, driver_id INT, hist_avg_finish DOUBLE, hist_avg_running DOUBLE, hist_rating DOUBLE"
 
@@ -184,3 +184,41 @@ def test_weekend_jobs(spark, tmp_path):
     for _ in range(2):
         jobs.f1_weekend(spark, str(f1), house)
     assert [spark.read.parquet(f"{house}/f1/{t}").count() for t in ("races", "results", "drivers", "constructors")] == [1, 1, 1, 1]
+
+
+def test_a_poll_reads_and_writes_the_day_of_its_game_only(spark, tmp_path):
+    """All files of the other days are spoilt, so reading one of them would fail."""
+    out = str(tmp_path / "out")
+
+    def poll(epoch, *docs):
+        batch = spark.createDataFrame([(pk, game(pk, state, calls).replace("2024-05-01", day)) for pk, day, state, calls in docs], "game_pk INT, data STRING")
+        live.game_batch(batch.withColumn("fetched_at", F.lit(f"2024-05-0{epoch + 1} 20:00:00").cast("timestamp")), epoch, out, None)
+
+    poll(0, (1, "2024-05-01", "In Progress", "S"), (2, "2024-05-02", "In Progress", "SS"), (3, "2024-05-03", "Final", "SSS"))
+    for path in (tmp_path / "out").glob("*/part=2024-05-0[13]/*.parquet"):
+        path.write_bytes(b"spoilt")
+    poll(1, (2, "2024-05-02", "Final", "SSSS"))
+    pitches = spark.read.parquet(f"{out}/pitches/part=2024-05-02")
+    assert {r["game_pk"] for r in pitches.collect()} == {2} and pitches.count() == 4
+    poll(2, (2, "2024-05-02", "Final", "S"), (3, "2024-05-03", "Final", "S"))  # final ones are known from the index alone
+    report = {r["game_pk"]: r["action"] for r in spark.read.parquet(f"{out}/report/epoch=2").collect()}
+    assert report == {2: "skipped", 3: "skipped"}
+
+
+def test_status_state_outlives_a_restart_and_goes_after_the_game(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def poll(keep, *docs):
+        rows_ = spark.createDataFrame([(pk, game(pk, state, "")) for pk, state in docs], "game_pk INT, data STRING").withColumn("fetched_at", F.current_timestamp())
+        rows_.write.mode("append").parquet(src)
+        status.watch_status(fd.table_stream(spark, src, rows_.schema), out, keep).awaitTermination()
+
+    poll(3600, (1, "In Progress"), (2, "Preview"))
+    poll(0, (1, "Final"), (2, "Preview"))
+    seen = spark.read.option("basePath", f"{out}/status").parquet(f"{out}/status")
+    got = {(r["game_pk"], r["epoch"]): (r["action"], r["before"], r["status_changed"]) for r in seen.collect()}
+    assert got == {(1, 0): ("inserted", None, True), (2, 0): ("inserted", None, True), (1, 1): ("updated", "In Progress", True), (2, 1): ("updated", "Preview", False)}
+    poll(0, (2, "In Progress"))  # the timer of game 1 runs out with this batch
+    poll(0, (1, "Final"))
+    last = spark.read.parquet(f"{out}/status/epoch=3").collect()
+    assert [(r["game_pk"], r["action"]) for r in last] == [(1, "inserted")]
