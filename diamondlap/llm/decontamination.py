@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from diamondlap.llm.text import SIMILARITY, WORDS, byte_slices, mix, text_shingles
 
@@ -186,6 +187,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     """One row per document and item found in it: where, how similar, how far apart the fingerprints."""
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", benchmark.schema["item_id"].dataType), *LEAKS.fields])
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for items in item_blocks(benchmark, threshold):
         held = docs.sparkSession.sparkContext.broadcast(items)
@@ -196,7 +198,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
                 found = [leak._replace(row=first + leak.row) for first, texts in byte_slices(batch.column(1), SLICE) for leak in held.value.leaks(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array([x.row for x in found], pa.int64())), pa.array([x.item_id for x in found]).cast(pa.int64()),
+                        ids.take(pa.array([x.row for x in found], pa.int64())), pa.array([x.item_id for x in found], item_type),
                         pa.array([x.similarity for x in found], pa.float64()), pa.array([x.distance for x in found], pa.int32()),
                         pa.array([x.first_shingle for x in found], pa.int64()),
                         pa.array([x.shingles + WORDS - 1 for x in found], pa.int64()),

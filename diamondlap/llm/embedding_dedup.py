@@ -1,12 +1,19 @@
 """Near-duplicate vectors by random-hyperplane signs, checked by exact cosine.
 
-Equal vectors form one class first. In each of several tables a class falls into
-the bucket of its signs against random hyperplanes; within a bucket all pairs are
-compared by cosine in double precision, once for each pair, in the first table
-in which it meets. Buckets of any size are dealt over many tasks, see graph.py.
-The number of signs grows with the logarithm of the number of classes, so that
-buckets keep their size, and the number of tables follows from the recall to be
-reached for a pair that is only just near enough.
+Equal vectors form one class first: they are grouped by a 128-bit digest, and the
+bytes of a class are compared. In each of several tables a class falls into the
+bucket of its signs against random hyperplanes. Within a bucket classes are compared
+by further signs (SKETCH of them): pairs whose signs differ in no more places than
+those of a pair that is only just near enough may, five standard deviations beyond the
+expectation, are candidates. Candidates hang together in clusters, and within a
+cluster all pairs are compared by cosine in double precision. So only keys and
+signs are dealt over the tables, and each vector goes once to its cluster. Buckets
+and clusters of any size are dealt over many tasks, see graph.py.
+
+The number of signs of a bucket grows with the logarithm of the number of classes, so
+that buckets keep their size, and the number of tables follows from the recall to be
+reached for a pair that is only just near enough. Vectors are not centred: that would
+change their angles, and with them the recall.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
 component link with nothing, nor do vectors of different lengths. Repeated rows
@@ -25,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diamondlap.llm.graph import components, join_within
+from diamondlap.llm.graph import components, hot_limit, join_spread, join_within
 from diamondlap.sources.staging import stage
 
 COSINE = 0.9
 RECALL = 0.997
 BUCKET = 256  # classes that a bucket has on average
-GROUP = 2_048
+GROUP, GROUP_BYTES = 2_048, 16 << 20  # of a bucket or cluster that are compared at once with as many others
+SKETCH = 256  # signs
 SEED = 71_993
 
 
@@ -57,67 +65,78 @@ def as_matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def keyed(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, node (key of equal vectors; null if unusable) and the vector's bytes in double precision."""
+    """vec_id, key (digest of the vector; null if unusable) and the vector's bytes in double precision."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, raw = [None] * batch.num_rows, [None] * batch.num_rows
+            key, raw = [None] * batch.num_rows, [None] * batch.num_rows
             for rows, matrix in as_matrix(batch.column(1)).values():
                 for row, x in zip(rows, matrix):
                     raw[row] = x.tobytes()
-                    node[row] = xxhash.xxh64_intdigest(raw[row]) - (1 << 63)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "node", "vector"])
+                    key[row] = xxhash.xxh3_128_digest(raw[row])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "key", "vector"])
 
     kind = vectors.schema[vec_id].dataType.simpleString()
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
-    return rows.mapInArrow(run, f"vec_id {kind}, node bigint, vector binary")
+    return rows.mapInArrow(run, f"vec_id {kind}, key binary, vector binary")
+
+
+def most_apart(cosine: float = COSINE, signs: int = SKETCH) -> int:
+    """Signs in which a pair of this cosine differs at most, but for five standard deviations."""
+    share = math.acos(cosine) / math.pi
+    return math.ceil(share * signs + 5 * math.sqrt(share * (1 - share) * signs))
 
 
 def buckets(classes: DataFrame, tables: int, signs: int) -> DataFrame:
-    """One row per class and table; codes are the class's buckets in all tables."""
+    """One row per class and table, with the class's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            raw = batch.column(2).to_pylist()
+            raw = batch.column(1).to_pylist()
             length = np.array([len(r) // 8 for r in raw])
             for n in np.unique(length):
                 if n not in planes:
-                    planes[n] = np.random.default_rng([SEED, int(n)]).standard_normal((int(n), tables * signs))
+                    planes[n] = np.random.default_rng([SEED, int(n)]).standard_normal((int(n), tables * signs + SKETCH))
                 own = np.flatnonzero(length == n)
                 matrix = np.frombuffer(b"".join([raw[k] for k in own]), np.float64).reshape(len(own), n)
-                bits = (matrix @ planes[n] > 0).reshape(len(own), tables, signs)
-                codes = bits @ (1 << np.arange(signs, dtype=np.int64))
-                rows = batch.take(pa.array(own))
-                held = pa.array([c.tobytes() for c in codes], pa.binary())
+                bits = matrix / np.abs(matrix).max(axis=1, keepdims=True) @ planes[n] > 0
+                codes = bits[:, : tables * signs].reshape(len(own), tables, signs) @ (1 << np.arange(signs, dtype=np.int64))
+                sketch = pa.array([b.tobytes() for b in np.packbits(bits[:, tables * signs :], axis=1)], pa.binary())
+                node, one = batch.column(0).take(pa.array(own)), pa.array(np.ones(len(own), np.int64))
                 for t in range(tables):
                     key = (codes[:, t] * tables + t) * 1_000_003 + n
-                    table = pa.array(np.full(len(own), t, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), table, rows.column(0), rows.column(1), rows.column(2), held], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), node, one, sketch], names=["bucket", "node", "weight", "sketch"])
+
+    return classes.select("node", "vector").mapInArrow(run, "bucket bigint, node bigint, weight bigint, sketch binary")
+
 
-    names = ["bucket", "table", "node", "weight", "vector", "codes"]
-    return classes.select("node", "weight", "vector").mapInArrow(
-        run, "bucket bigint, table bigint, node bigint, weight bigint, vector binary, codes binary"
-    )
+def alike(apart: int):
+    """Pairs of a bucket whose sketches differ in at most `apart` signs."""
+
+    def compare(rows: pa.RecordBatch) -> np.ndarray:
+        signs = np.unpackbits(np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1), axis=1)
+        signs = signs.astype(np.float32) * 2 - 1
+        return signs @ signs.T >= SKETCH - 2 * apart
+
+    return compare
 
 
 def near(cosine: float):
-    """Pairs of a bucket at or above the cosine that no earlier table brings together."""
+    """Pairs of a cluster at or above the cosine; of different lengths none is."""
 
     def compare(rows: pa.RecordBatch) -> np.ndarray:
-        x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(rows.num_rows, -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the squares
-        norm = np.sqrt((x * x).sum(axis=1))
-        links = (x @ x.T) / norm[:, None] / norm[None, :] >= cosine
-        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int64).reshape(rows.num_rows, -1)
-        a, b = np.nonzero(np.triu(links, 1))
-        table = rows.column("table")[0].as_py()
-        for low in range(0, len(a), 65_536):
-            p, q = a[low : low + 65_536], b[low : low + 65_536]
-            before = (codes[p, :table] == codes[q, :table]).any(axis=1)
-            links[p[before], q[before]] = False
-        return links
+        raw = rows.column("vector").to_pylist()
+        length = np.array([len(r) // 8 for r in raw])
+        out = np.zeros((len(raw), len(raw)), bool)
+        for n in np.unique(length):
+            own = np.flatnonzero(length == n)
+            x = np.frombuffer(b"".join(raw[k] for k in own), np.float64).reshape(len(own), n)
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the squares
+            norm = np.sqrt((x * x).sum(axis=1))
+            out[np.ix_(own, own)] = (x @ x.T) / norm[:, None] / norm[None, :] >= cosine
+        return out
 
     return compare
 
@@ -125,21 +144,26 @@ def near(cosine: float):
 def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """One row per vector: n_links (other vectors of cosine >= `cosine` that were found), component_id, kept."""
     described = stage(keyed(vectors, vec_id, embedding), "vectors")
-    classes = stage(
-        described.where("node is not null").groupBy("node")
-        .agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "classes",
-    )
-    tables, signs = tables_and_signs(classes.count(), cosine, recall)
-    links = stage(join_within(buckets(classes, tables, signs), "bucket", GROUP, near(cosine)), "links")
+    usable = described.where("key is not null")
+    found = usable.groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.min("vector").alias("vector"), F.max("vector").alias("other"))
+    classes = stage(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    if not classes.where("vector != other").isEmpty():
+        raise RuntimeError("two vectors have the same 128-bit digest")
+    count = classes.count()
+    tables, signs = tables_and_signs(count, cosine, recall)
+    candidates = join_within(buckets(classes, tables, signs), "bucket", GROUP, alike(most_apart(cosine)))
+    clusters = components(candidates.select("node", "root")).withColumnRenamed("root", "cluster")
+    members = stage(classes.select("node", "weight", "vector").join(clusters, "node"), "members")
+    links = stage(join_within(members, "cluster", GROUP, near(cosine), size=F.length("vector"), most=GROUP_BYTES), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = stage(components(links.select("node", "root")), "roots")
-    ids = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = classes.select("node", "first_id", "weight").join(counts, "node", "left").join(roots, "node", "left").join(ids, "root", "left")
-    known = known.select(
-        "node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+    ids = stage(roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size")), "ids")
+    of_roots = join_spread(roots, ids, "root", F.col("size") > hot_limit(roots.count())).select("node", "root", "component_id")
+    known = classes.select("key", "node", "first_id", "weight").join(counts, "node", "left").join(of_roots, "node", "left")
+    known = stage(known.select(
+        "key", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
-    return described.select("vec_id", "node").join(known, "node", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    ), "known")
+    out = join_spread(usable.select("vec_id", "key"), known, "key", F.col("weight") > hot_limit(described.count())).select("vec_id", "n_links", "component_id")
+    unusable = described.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(unusable).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diamondlap.sources.staging import stage
 
 LINKED = "node bigint, links bigint, root bigint"
 BROADCAST_ROWS = 1_000_000  # of two or three long columns, about 40 MB
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,10 +27,26 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def dealt(rows: DataFrame, key: str, node: str, limit: int) -> DataFrame:
-    """rows with i and j, the parts of its group that a row meets; part is its own. Sorted by group within partitions."""
-    hot = stage(rows.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("parts")), "hot")
-    out = rows.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def hot_limit(rows: int) -> int:
+    """The number of rows above which a key counts as hot; there are at most HOT_KEYS such keys."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def join_spread(rows: DataFrame, found: DataFrame, key: str, large: Column) -> DataFrame:
+    """rows joined with found, which has one row per key and should be a written table. Keys that `large` says
+    are hot are sent to the rows (see hot_limit()), all others are joined as usual; a row without its key is left out."""
+    hot = F.broadcast(found.where(large))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(found.where(~large), key))
+
+
+def dealt(rows: DataFrame, key: str, node: str, limit: int, size: Column | None = None, most: int = 0) -> DataFrame:
+    """rows with i and j, the parts of its group that a row meets; part is its own. Sorted by group within partitions.
+    A part has about `limit` rows at most, and if `size` is given, about `most` of it."""
+    wanted = F.ceil(F.count("*") / limit)
+    if size is not None:
+        wanted = F.least(F.greatest(wanted, F.ceil(F.sum(size) / most)), F.count("*"))
+    hot = stage(rows.groupBy(key).agg(wanted.cast("int").alias("parts")).where("parts > 1"), "hot")
+    out = rows.join(small(hot), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     out = out.withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), F.col("parts")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     out = out.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
@@ -90,7 +107,8 @@ def linked(node: np.ndarray, weight: np.ndarray, links: np.ndarray) -> pa.Record
 
 
 def join_within(
-    rows: DataFrame, key: str, limit: int, compare: Callable[[pa.RecordBatch], np.ndarray | None], node: str = "node", weight: str = "weight"
+    rows: DataFrame, key: str, limit: int, compare: Callable[[pa.RecordBatch], np.ndarray | None], node: str = "node", weight: str = "weight",
+    size: Column | None = None, most: int = 0,
 ) -> DataFrame:
     """LINKED rows of all groups with equal `key`.
 
@@ -117,7 +135,7 @@ def join_within(
             if out is not None:
                 yield out
 
-    return dealt(rows, key, node, limit).mapInArrow(run, LINKED)
+    return dealt(rows, key, node, limit, size, most).mapInArrow(run, LINKED)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -129,9 +147,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = stage(edges.where(F.col("node") != F.col("root")).select("node", "root").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        large = _star(edges.union(edges.select("root", "node")), larger_only=True)
+        large = _star(stage(edges.union(edges.select("root", "node")), "edges"), larger_only=True)
         ordered = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root"))
-        edges = stage(_star(ordered.where("node != root").distinct(), larger_only=False).where("node != root").distinct(), "edges")
+        edges = stage(_star(stage(ordered.where("node != root").distinct(), "edges"), larger_only=False).where("node != root").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -144,8 +162,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Hang the neighbours of every node (the larger ones only, or all and the node itself) on its least neighbour."""
-    least = edges.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"))
-    joined = edges.join(least, "node")
+    least = stage(edges.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"), F.count("*").alias("degree")), "least")
+    joined = join_spread(edges, least, "node", F.col("degree") > hot_limit(edges.count()))
     if larger_only:
         return joined.where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("least").alias("root"))
     return joined.select(F.col("root").alias("node"), F.col("least").alias("root")).union(least.select("node", F.col("least").alias("root")))

@@ -1,26 +1,36 @@
 """Similarity join of texts by the Jaccard similarity of their five-word shingles.
 
-Copies (texts of the same words in the same order) form one class first. A class
-is described by TREES paths of PATH MinHash values each. Classes are candidates if
-their paths agree on a prefix in some tree. The prefix has one length for all
-branches (banding, not a forest that goes deeper branch by branch): the longest
-with which a pair that is only just similar is found with the target recall.
-
-Candidates whose signatures make similarity possible at all (MARGIN below the
-threshold, over five standard deviations) hang together in clusters, and within
-clusters all pairs are compared exactly by their sets of shingles. Groups and
-clusters of any size are dealt over many tasks, see graph.py. What comes out is
-one row per document, not pairs.
+Copies (texts of the same words in the same order) form one class first. An LSH
+forest describes a class by TREES paths of PATH MinHash values each. The paths of
+a tree are sorted over all tasks, so that a branch, the classes whose paths begin
+alike, is a run of neighbours; classes that share not even the shortest prefix with
+a neighbour are done with this tree.
+
+A branch is as short a prefix as may be, from SHORTEST values on. One that holds
+more than BRANCH classes is not compared as it is: its classes go on to longer
+prefixes, where branches are smaller but a pair is found less likely. What a class
+can then be found by follows from its prefixes in all trees. If that is less than
+the target recall, prefixes of the class are shortened again, the one with the
+smallest branch first, until the target is reached; the branches opened so are
+compared whole, whatever they hold.
+
+Candidates are the pairs of a branch whose signatures make similarity possible at
+all (MARGIN below the threshold, over five standard deviations). They hang together
+in clusters, and within clusters all pairs are compared exactly by their sets of
+shingles. Branches and clusters of any size are dealt over many tasks, see graph.py.
+What comes out is one row per document, not pairs.
 
 Defined cases: a text without a word (null and empty ones too) links with
-nothing. Shorter texts than five words have one shingle. Repeated rows and
+nothing. Shorter texts than five words have one shingle; of very long texts all
+shingles count, and a task holds about SLICE bytes of text besides. Repeated rows and
 documents without doc_id are copies like any others; a class whose documents
 all lack a doc_id has a null class_id. An empty table gives no rows. Other
-columns are not read.
+columns are not read by join_similar() and kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diamondlap.llm.graph import components, join_within, small
+from diamondlap.llm.graph import components, hot_limit, join_spread, join_within, small
+from diamondlap.llm.names import free_names
 from diamondlap.llm.text import SIMILARITY, WORDS, byte_slices, mix, prefix_hash, shingles, span_hash, word_hashes
 from diamondlap.sources.staging import stage
 
 TREES, PATH = 12, 6
+SHORTEST = 2  # values of a prefix
+STEP = 4  # bytes of a value
 RECALL = 0.9995
 MARGIN = 0.25
-BRANCH = 2_048  # rows of a branch and of a cluster that are compared at once with as many others
-CLUSTER = 96
+BRANCH = 2_048  # classes of a branch, and rows of one part of it that are compared at once with as many others
+CLUSTER, CLUSTER_BYTES = 512, 16 << 20  # rows and bytes of a part of a cluster
 SLICE = 1_000_000
 
 _rng = np.random.default_rng(20_240_229)
@@ -46,7 +59,7 @@ _OFFSETS = _rng.integers(0, 1 << 63, TREES * PATH, dtype=np.uint64)
 
 
 def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, path: int = PATH) -> int:
-    """The longest prefix with which a pair of this similarity agrees in some tree with the target recall."""
+    """The longest prefix that reaches the target recall if it is used in every tree."""
     length = path
     while length > 1 and 1 - (1 - similarity**length) ** trees < recall:
         length -= 1
@@ -58,21 +71,18 @@ def class_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return span_hash(prefix_hash(mix(hashes ^ np.uint64(0xA0761D6478BD642F))), bounds[:-1], bounds[1:]).view(np.int64)
 
 
-def signatures(marks: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text with shingles: the key of its branch in every tree, and one byte of each MinHash value."""
+def signatures(marks: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text with shingles: its path in every tree, as bytes, and one other byte of each MinHash value."""
     full = np.flatnonzero(np.diff(bounds))
     least = np.empty((len(full), TREES * PATH), np.uint64)
     for k in range(TREES * PATH):
         least[:, k] = np.minimum.reduceat((marks ^ _OFFSETS[k]) * _FACTORS[k], bounds[full])
-    paths = least.reshape(len(full), TREES, PATH)
-    branch = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(full), TREES)).copy()
-    for k in range(depth):
-        branch = mix(branch ^ paths[:, :, k])
-    return branch.view(np.int64), (mix(least) >> np.uint64(56)).astype(np.uint8)
+    least = mix(least)
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.uint32), (least >> np.uint64(56)).astype(np.uint8)
 
 
-def describe(docs: DataFrame, depth: int, words: int = WORDS) -> DataFrame:
-    """doc_id, node (class key; null without words), branches and signature as bytes."""
+def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, hash of the text, node (class key; null without words), paths and signature as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,34 +93,100 @@ def describe(docs: DataFrame, depth: int, words: int = WORDS) -> DataFrame:
                 full = np.flatnonzero(np.diff(at))
                 both = [None] * len(texts)
                 if len(full):
-                    branch, marks8 = signatures(marks, at, depth)
-                    for row, b, s in zip(full, branch, marks8):
-                        both[row] = b.tobytes() + s.tobytes()
+                    for row, path, mark in zip(full, *signatures(marks, at)):
+                        both[row] = path.tobytes() + mark.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(node, mask=np.diff(at) == 0), pa.array(both, pa.binary())],
-                    names=["doc_id", "node", "marks"],
+                    [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(node, mask=np.diff(at) == 0), pa.array(both, pa.binary())],
+                    names=["doc_id", "text_key", "node", "marks"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, marks binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", text_key()).mapInArrow(run, f"doc_id {kind}, text_key bigint, node bigint, marks binary")
 
 
-def branches(classes: DataFrame) -> DataFrame:
-    """One row per class and tree."""
+def text_key():
+    return F.xxhash64("text").alias("text_key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def tries(classes: DataFrame) -> DataFrame:
+    """tree, path and node of the classes that share the shortest prefix with another one: the paths of
+    each tree are sorted by range over all tasks, and each is compared with its neighbours."""
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, TREES * 8 + TREES * PATH)
-            keys = np.ascontiguousarray(raw[:, : TREES * 8]).view(np.int64)
-            marks = pa.array([m.tobytes() for m in raw[:, TREES * 8 :]], pa.binary())
+            raw = [m[: TREES * PATH * STEP] for m in batch.column(1).to_pylist()]
             for tree in range(TREES):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:, tree]), batch.column(0), pa.array(np.ones(n, np.int64)), marks], names=["branch", "node", "weight", "marks"]
-                )
+                own = [m[tree * PATH * STEP : (tree + 1) * PATH * STEP] for m in raw]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(own, pa.binary()), batch.column(0)], names=["tree", "path", "node"])
 
-    return classes.select("node", "marks").mapInArrow(run, "branch bigint, node bigint, weight bigint, marks binary")
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows at either end of a slice are kept, as their neighbours lie in other slices."""
+        held, last_shared = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            tree = np.asarray(batch.column(0))
+            start = np.frombuffer(b"".join(p[: SHORTEST * STEP] for p in batch.column(1).to_pylist()), f"V{SHORTEST * STEP}")
+            shared = (tree[1:] == tree[:-1]) & (start[1:] == start[:-1])
+            keep = np.concatenate(([last_shared], shared)) | np.concatenate((shared, [False]))
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            held, last_shared = batch.slice(batch.num_rows - 1), bool(shared[-1]) if len(shared) else last_shared
+        if held is not None:
+            yield held
+
+    schema = "tree int, path binary, node bigint"
+    rows = classes.select("node", "marks").mapInArrow(paths, schema)
+    return rows.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node").mapInArrow(neighbours, schema)
+
+
+def lost(similarity: float, prefix: int) -> float:
+    """Logarithm of the probability that a pair of this similarity differs in a prefix."""
+    return math.log1p(-(similarity**prefix))
+
+
+def shortened(branches: list[dict], similarity: float, recall: float) -> list[int]:
+    """Keys of the branches to be opened so that a class is found with the target recall. branches holds, for each tree whose
+    shortest branch is too large: depth, the prefix gone on to, and by prefix the key and size of the larger branches."""
+    depth = [b["depth"] for b in branches]
+    log_lost = sum(lost(similarity, d) for d in depth) + (TREES - len(depth)) * lost(similarity, SHORTEST)
+    target = math.log1p(-recall) + 1e-9
+    while log_lost > target and any(d > SHORTEST for d in depth):
+        k = min((k for k in range(len(depth)) if depth[k] > SHORTEST), key=lambda k: (branches[k]["sizes"][depth[k] - 1 - SHORTEST] or 0, depth[k]))
+        log_lost += lost(similarity, depth[k] - 1) - lost(similarity, depth[k])
+        depth[k] -= 1
+    return [b["keys"][d - SHORTEST] for b, d in zip(branches, depth) if d < b["depth"]]
+
+
+def branches(rows: DataFrame, similarity: float, recall: float, limit: int) -> DataFrame:
+    """branch (key) and node of the classes in the branches to be compared."""
+    depths = range(SHORTEST, PATH + 1)
+    keyed = rows.withColumns({f"k{d}": F.xxhash64("tree", F.lit(d), F.substring("path", 1, d * STEP)) for d in depths})
+    every = keyed.select(F.explode(F.array(*(F.col(f"k{d}") for d in depths))).alias("key"))
+    large = stage(every.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > limit), "large")
+    if large.isEmpty():
+        return keyed.select(F.col(f"k{SHORTEST}").alias("branch"), "node")
+
+    def with_depth(closed: DataFrame) -> DataFrame:
+        """The shortest prefix whose branch is not closed, or the longest."""
+        out, closed = keyed, small(closed)
+        for d in depths:
+            out = out.join(closed.select(F.col("key").alias(f"k{d}"), F.col("size").alias(f"n{d}")), f"k{d}", "left")
+        return out.withColumn("depth", F.coalesce(*(F.when(F.col(f"n{d}").isNull(), d) for d in depths), F.lit(PATH)))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [key for trees in batch.column(0).to_pylist() for key in shortened(trees, similarity, recall)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
+
+    tree = F.struct("depth", F.array(*(F.col(f"k{d}") for d in depths)).alias("keys"), F.array(*(F.col(f"n{d}") for d in depths)).alias("sizes"))
+    going_on = with_depth(large).where(F.col("depth") > SHORTEST).groupBy("node").agg(F.collect_list(tree).alias("trees"), F.max("depth").alias("most"))  # TREES at most
+    going_on = going_on.where(F.col("most") > prefix_length(similarity, recall))  # the others reach the target as they are
+    needed = stage(going_on.select("trees").mapInArrow(opened, "key bigint").distinct(), "opened")
+    final = with_depth(stage(large.join(needed, "key", "left_anti"), "closed"))
+    own = F.coalesce(*(F.when(F.col("depth") == d, F.col(f"k{d}")) for d in depths))
+    return final.select(own.alias("branch"), "node")
 
 
 def alike_marks(least: float):
@@ -154,8 +230,8 @@ def alike_sets(threshold: float, columns: int = 4_096):
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """cluster, node, weight and the sorted distinct shingles of one document of each wanted class.
 
-    wanted(first_id, node, weight, cluster); documents with the id but another
-    text are left out by their class key.
+    wanted(first_id, text_key, node, weight, cluster) names a document by its id and the hash of its text; repeated rows
+    of it are taken once, and a text of that hash but another class is left out by its class key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,42 +247,51 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
             rows = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(1), rows.column(2), pa.array(sets, pa.binary())], names=["cluster", "node", "weight", "shingles"])
 
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
-    return found.select("text", "node", "weight", "cluster").mapInArrow(run, "cluster bigint, node bigint, weight bigint, shingles binary")
+    found = docs.select("doc_id", "text", text_key()).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    once = found.groupBy("node").agg(F.first("text").alias("text"), F.first("weight").alias("weight"), F.first("cluster").alias("cluster"))
+    return once.select("text", "node", "weight", "cluster").mapInArrow(run, "cluster bigint, node bigint, weight bigint, shingles binary")
 
 
 def linked(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """join_similar() and, for every class of copies, the class that stays of those it hangs together
     with: `stays` among documents with a doc_id, `stays_null` among those without."""
-    described = stage(describe(docs, prefix_length(threshold, recall)), "described")
+    described = stage(describe(docs), "described")
+    worded = described.where("node is not null")
     classes = stage(
-        described.where("node is not null").groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.count("*").alias("weight"), F.first("marks").alias("marks")), "classes",
+        worded.groupBy("node")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("null_first"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"),
+             F.max(F.col("doc_id").isNull()).alias("no_id"), F.count("*").alias("weight"), F.first("marks").alias("marks"))
+        .withColumn("first", F.coalesce("least", "null_first"))
+        .select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "no_id", "weight", "marks"), "classes",
     )
-    candidates = join_within(branches(classes), "branch", BRANCH, alike_marks(threshold - MARGIN))
+    rows = stage(tries(classes), "tries")
+    signature = F.substring("marks", TREES * PATH * STEP + 1, TREES * PATH).alias("marks")
+    members = branches(rows, threshold, recall, BRANCH).join(classes.select("node", signature), "node").withColumn("weight", F.lit(1).cast("long"))
+    candidates = join_within(members, "branch", BRANCH, alike_marks(threshold - MARGIN))
     clusters = components(candidates.select("node", "root")).withColumnRenamed("root", "cluster")
-    wanted = stage(classes.select("first_id", "node", "weight").join(clusters, "node").select("first_id", "node", "weight", "cluster"), "wanted")
+    wanted = stage(classes.select("first_id", "text_key", "node", "weight").join(clusters, "node").select("first_id", "text_key", "node", "weight", "cluster"), "wanted")
     sets = stage(shingle_sets(docs, small(wanted)), "sets")
-    links = stage(join_within(sets, "cluster", CLUSTER, alike_sets(threshold)), "links")
+    links = stage(join_within(sets, "cluster", CLUSTER, alike_sets(threshold), size=F.length("shingles"), most=CLUSTER_BYTES), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = stage(components(links.select("node", "root")), "roots")
     own = F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))
     own_null = F.when(F.col("no_id"), F.col("node"))
-    ids = roots.join(classes.select("node", "first_id", "no_id"), "node").groupBy("root").agg(
-        F.min("first_id").alias("class_id"), F.min(own)["node"].alias("stays"), F.min(own_null).alias("stays_null")
-    )
-    known = classes.select("node", "first_id", "no_id", "weight").join(counts, "node", "left").join(roots, "node", "left").join(ids, "root", "left")
-    known = known.select(
-        "node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+    ids = stage(roots.join(classes.select("node", "first_id", "no_id"), "node").groupBy("root").agg(
+        F.min("first_id").alias("class_id"), F.min(own)["node"].alias("stays"), F.min(own_null).alias("stays_null"), F.count("*").alias("size")
+    ), "ids")
+    of_roots = join_spread(roots, ids, "root", F.col("size") > hot_limit(roots.count())).drop("size")
+    known = classes.select("node", "first_id", "no_id", "weight").join(counts, "node", "left").join(of_roots, "node", "left")
+    known = stage(known.select(
+        "node", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("root").isNull(), own["node"]).otherwise(F.col("stays")).alias("stays"),
         F.when(F.col("root").isNull(), own_null).otherwise(F.col("stays_null")).alias("stays_null"),
+    ), "known")
+    out = join_spread(worded.select("doc_id", "node"), known, "node", F.col("weight") > hot_limit(described.count())).select(
+        "doc_id", F.col("node").alias("copy_key"), "n_links", "class_id", "stays", "stays_null"
     )
-    return described.select("doc_id", "node").join(known, "node", "left").select(
-        "doc_id", F.col("node").alias("copy_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        "stays", "stays_null",
-    )
+    wordless = described.where("node is null").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
+    return out.unionByName(wordless, allowMissingColumns=True)
 
 
 def join_similar(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -238,18 +323,19 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     one with a doc_id. Of rows of the same doc_id and words one stays, the first by
     its columns as JSON. Texts without a word all stay.
     """
+    copy, own_id, key = free_names(docs, "_copy_key", "_id", "_key")
     found = linked(docs, threshold, RECALL).where("copy_key is not null")
     with_id = F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("class_id")) & (F.col("copy_key") == F.col("stays"))
     without_id = F.col("doc_id").isNull() & (F.col("copy_key") == F.col("stays_null"))
     keep = F.coalesce(with_id | without_id, F.lit(False)).alias("keep")
-    found = stage(found.select(F.col("doc_id").alias("_id"), F.col("copy_key").alias("_key"), keep), "joined")
-    same = (F.col("_copy_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    dropped = small(stage(found.where("not keep").select("_id", "_key").distinct(), "dropped"))
-    kept = with_copy_key(docs, "_copy_key").join(dropped, same, "left_anti")
-    again = stage(found.where("keep").groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "again")
+    found = stage(found.select(F.col("doc_id").alias(own_id), F.col("copy_key").alias(key), keep), "joined")
+    same = (F.col(copy) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own_id))
+    dropped = small(stage(found.where("not keep").select(own_id, key).distinct(), "dropped"))
+    kept = with_copy_key(docs, copy).join(dropped, same, "left_anti")
+    again = stage(found.where("keep").groupBy(own_id, key).agg(F.count("*").alias("rows")).where("rows > 1").select(own_id, key), "again")
     if again.isEmpty():
         return kept.select(*docs.columns)
     again = small(again)
-    row = F.struct(*docs.columns)
-    one = kept.join(again, same, "left_semi").groupBy("doc_id", "_copy_key").agg(F.min_by(row, F.to_json(row)).alias("row"))
-    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one.select("row.*").select(*docs.columns))
+    row, (held,) = F.struct(*docs.columns), free_names(docs, "_row")
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", copy).agg(F.min_by(row, F.to_json(row)).alias(held))
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one.select(f"{held}.*").select(*docs.columns))

@@ -18,7 +18,8 @@ added up in two levels so that a text with very many matches stays cheap.
 
 Defined cases: a null text is empty and has no span. Repeated rows are scanned
 each, an empty table gives no rows, other columns are not read by scan() and are
-kept by redact(). A text without spans is returned by redact() as it is.
+kept by redact(), whatever their names. A text without spans is returned by redact()
+as it is. No pattern recurses, so a match may be as long as the text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diamondlap.llm.names import free_names
+
 # The base patterns and the least lengths of their matches.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 6
@@ -44,7 +47,8 @@ CLASSES = {  # kind: (candidate pattern, what it must hold as well, least entrop
 ALLOWED = (
     r"^[A-Za-z_=/+-]+$", r"^[0-9_=/+-]+$", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"^(.{1,4})\1+.{0,3}$",
 )
-LISTED = r"(?i:0123456789|abcdefghij|qwertyuiop|example|placeholder|x{6,}|changeme)|^data/|(?:/[a-z]+){2,}/"
+# A repeated group is possessive: a plain one is matched by recursion, as deep as the text is long.
+LISTED = r"(?i:0123456789|abcdefghij|qwertyuiop|example|placeholder|x{6,}|changeme)|^data/|(?:/[a-z]+(?=/)){2,}+/"
 
 SPAN = "struct<start:int,rank:int,end:int>"
 _BLOCK = 64
@@ -194,7 +198,7 @@ def _random_spans(text: Column, hits: Column, kind: str) -> Column:
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
     """docs with the ordered spans (start, rank of the kind, end) of all kinds in column `into`."""
-    names = [f"_{into}_{k}" for k in KINDS]
+    names = free_names(docs, *(f"_{into}_{k}" for k in KINDS))
     whole = F.coalesce(F.col(text), F.lit(""))
     patterns = (ASSIGN, ACCESS, HEX, *(CLASSES[k][0] for k in KINDS[3:]))
     docs = docs.withColumns({n: F.regexp_extract_all(whole, F.lit(p), F.lit(0)) for n, p in zip(names, patterns)})
@@ -227,7 +231,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by mark (overlapping spans by one), and n_chars to match."""
-    columns, spans = docs.columns, "_secret_spans"
+    columns, (spans,) = docs.columns, free_names(docs, "_secret_spans")
     found = with_spans(docs, into=spans)
 
     def cover(spans: Column) -> Column:

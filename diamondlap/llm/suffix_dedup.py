@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diamondlap.llm.graph import groups
+from diamondlap.llm.graph import groups, hot_limit
 from diamondlap.llm.segments import segments
 from diamondlap.llm.text import byte_slices, prefix_hash, span_hash
 from diamondlap.sources.staging import stage
@@ -301,7 +301,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     shards = cut_bytes(docs, wanted, length).join(hot, "owner", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     shards = shards.withColumn("part", F.pmod(F.xxhash64("segment"), F.col("parts")).cast("int"))
     marks = stage(compare_bytes(shards.repartition("owner", "part").sortWithinPartitions("owner", "part", "segment"), length), "marks")
-    copies = mixed.join(distinct.where("n > 1").select("owner", "segment"), ["owner", "segment"], "left_semi")
+    repeated = distinct.where("n > 1").select("owner", "segment", "n")
+    hot_ones = F.broadcast(repeated.where(F.col("n") > hot_limit(again.count())).drop("n"))  # their rows stay where they are
+    both = ["owner", "segment"]
+    copies = mixed.join(hot_ones, both, "left_semi").unionByName(mixed.join(hot_ones, both, "left_anti").join(repeated, both, "left_semi"))
     runs = (
         again.where("pure").select("key", "first", F.col("windows").cast("long"))
         .union(copies.select("key", "first", F.col("windows").cast("long")))
