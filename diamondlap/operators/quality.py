@@ -89,8 +89,9 @@ def player_discrepancies(season_batting: DataFrame, at_bats: DataFrame, games: D
 
 def check_rows_per_game(at_bats: DataFrame, games: DataFrame, low: float = 25, high: float = 45) -> DataFrame:
     """At-bats per game that has any, per day."""
-    rows = at_bats.join(games.select("game_pk", "game_date"), "game_pk").groupBy("game_date").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("game_pk").alias("games")
+    per_game = at_bats.groupBy("game_pk").agg(F.count(F.lit(1)).alias("n"))
+    rows = per_game.join(games.groupBy("game_pk", "game_date").agg(F.count(F.lit(1)).alias("times")), "game_pk").groupBy("game_date").agg(
+        F.sum(F.col("n") * F.col("times")).alias("n"), F.count(F.lit(1)).alias("games")
     )
     per = half_up(F.col("n") / F.nullif(F.col("games"), F.lit(0)), 1)
     level = F.when(per.isNull(), WARN).when(per.between(low, high), PASS).when(per < low, FAIL).otherwise(WARN)

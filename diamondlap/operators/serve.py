@@ -92,19 +92,19 @@ CHANGES = {"value_plus": 1, "avg_velo": 1, "avg_hmov": 2, "avg_ivb": 2}
 def season_compare(sc: DataFrame, season_a: int, season_b: int, pitcher_id: int | None = None) -> DataFrame:
     """Two regular seasons side by side per pitcher and type, with changes.
 
-    Both seasons are aggregated in one pass with conditional sums, which gives
-    the rows a full outer join of the two would.
+    Each season is aggregated by itself, in one pass with one distinct count; of the
+    few rows that leaves, the second aggregation puts two beside each other, which
+    gives the rows a full outer join would.
     """
-    rows = _scores(sc, None, pitcher_id).filter(F.col("season").isin(season_a, season_b))
-    aggregates = []
-    for tag, season in (("a", season_a), ("b", season_b)):
-        here = F.col("season") == season
-        aggregates += [
-            F.sum(F.when(here, F.col("pitches_thrown"))).cast("bigint").alias(f"pitches_{tag}"),
-            F.nullif(F.countDistinct(F.when(here, F.col("game_pk"))), F.lit(0)).cast("bigint").alias(f"games_{tag}"),
-            *[half_up(F.avg(F.when(here, F.col(c))), d).alias(f"{c}_{tag}") for c, d in COMPARED.items()],
-        ]
-    return rows.groupBy("pitcher_id", "pitch_type_code").agg(*aggregates).select(
+    per_season = _scores(sc, None, pitcher_id).filter(F.col("season").isin(season_a, season_b)).groupBy("pitcher_id", "pitch_type_code", "season").agg(
+        F.sum("pitches_thrown").cast("bigint").alias("pitches"), F.nullif(F.countDistinct("game_pk"), F.lit(0)).cast("bigint").alias("games"),
+        *[mean_of(c, d) for c, d in COMPARED.items()],
+    )
+    beside = [
+        F.max(F.when(F.col("season") == season, F.col(c))).alias(f"{c}_{tag}")
+        for tag, season in (("a", season_a), ("b", season_b)) for c in ("pitches", "games", *COMPARED)
+    ]
+    return per_season.groupBy("pitcher_id", "pitch_type_code").agg(*beside).select(
         "*", *[half_up(F.col(f"{c}_b") - F.col(f"{c}_a"), d).alias(f"{c}_change") for c, d in CHANGES.items()]
     )
 

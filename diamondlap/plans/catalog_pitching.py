@@ -9,6 +9,7 @@ from diamondlap.functions.scalars import half_up
 from diamondlap.operators import pitch_value as pv, tendencies as td
 from diamondlap.plans.registry import n, query, r
 from diamondlap.plans.tables import Tables, with_views
+from diamondlap.sources.staging import stage
 
 MIN_FACED = 3
 
@@ -160,9 +161,14 @@ def loaded(t: Tables, **scope) -> DataFrame:
     return td.load_pitches(t.pitches, t.at_bats, t.games, **scope)
 
 
+def stored_tendencies(t: Tables) -> DataFrame:
+    """As tendencies() gives them, written once: scoring reads them for the batters and for the league."""
+    return stage(tendencies(t), "tendencies")
+
+
 def scored(t: Tables, scope=("season",)) -> DataFrame:
     return pv.score_pitches(
-        loaded(t), tendencies(t), td.linear_weights(t.spark), scope=scope
+        loaded(t), stored_tendencies(t), td.linear_weights(t.spark), scope=scope
     )
 
 
@@ -241,7 +247,7 @@ def _(t):
     f"SELECT game_pk, pitcher_id, batter_id, pitch_type_code, call_code, event_type, {r('value', 6)} AS value FROM valued",
     VALUED))
 def _(t):
-    out = pv.pitch_value(loaded(t), tendencies(t), td.linear_weights(t.spark))
+    out = pv.pitch_value(loaded(t), stored_tendencies(t), td.linear_weights(t.spark))
     return six(out, "value").select(
         "game_pk", "pitcher_id", "batter_id", "pitch_type_code", "call_code", "event_type", "value"
     )
@@ -249,7 +255,7 @@ def _(t):
 
 @query("a03_per_game", with_views(PITCH_VIEWS, f"SELECT {sql_six(GAME_ROW, MEANS)} FROM game_rows", VALUED))
 def _(t):
-    return six(pv.per_game(pv.pitch_value(loaded(t), tendencies(t), td.linear_weights(t.spark))), *MEANS).select(*GAME_ROW)
+    return six(pv.per_game(pv.pitch_value(loaded(t), stored_tendencies(t), td.linear_weights(t.spark))), *MEANS).select(*GAME_ROW)
 
 
 @query("a04_season_scores", with_views(
