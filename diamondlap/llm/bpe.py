@@ -16,7 +16,8 @@ words and of pieces are kept in tables of bounded size in each worker; dropping
 them costs time only.
 
 Defined cases: a null or empty text has no ids. Every text decodes to its own
-bytes. Repeated rows are encoded each; an empty table gives no rows.
+bytes. Repeated rows are encoded each; an empty table gives no rows. round_trip() reads
+no other columns, so one named `ids` does not meet the ids it gives.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ reading takes it out again.
 Defined cases: null text and null parts are empty, a null role is empty, a null
 conversation or turn is a key like any other (first in order). Messages of one
 turn are ordered by role, then content; repeated rows are kept. Parts of an
-unknown type become placeholders of that type without expanded tokens. An empty
+unknown type become placeholders of that type without expanded tokens. Very long
+texts are formatted one by one and stay in one row. An empty
 table gives no rows. Other columns are not read.
 """
 

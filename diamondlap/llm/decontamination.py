@@ -20,7 +20,9 @@ and matches nothing. A text of one to four words is a single shingle, so an item
 that short is found only as a whole document. A document shorter than the item
 is one window. Of several windows of a document the most similar, then the first
 one stands for the item. Repeated documents are reported each row, items of the
-same text each by its own item_id. Without items nothing is found.
+same text each by its own item_id. Texts of any length are read in slices, whole
+texts each. Without items nothing is found, an empty table gives no rows. find_leaks()
+reads no other columns, drop_leaks() keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations

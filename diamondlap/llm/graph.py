@@ -50,7 +50,8 @@ def dealt(rows: DataFrame, key: str, node: str, limit: int, size: Column | None
     out = out.withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), F.col("parts")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     out = out.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
-    return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", node)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the work grows faster than the bytes by which tasks would be put together
+    return out.repartition(tasks, key, "i", "j").sortWithinPartitions(key, "i", "j", node)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 2) -> Iterator[tuple[pa.RecordBatch, int, int]]:
@@ -147,9 +148,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = stage(edges.where(F.col("node") != F.col("root")).select("node", "root").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        large = _star(stage(edges.union(edges.select("root", "node")), "edges"), larger_only=True)
+        large = _star(edges.union(edges.select("root", "node")), larger_only=True)
         ordered = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root"))
-        edges = stage(_star(stage(ordered.where("node != root").distinct(), "edges"), larger_only=False).where("node != root").distinct(), "edges")
+        edges = stage(_star(ordered.where("node != root").distinct(), larger_only=False).where("node != root").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -163,7 +164,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Hang the neighbours of every node (the larger ones only, or all and the node itself) on its least neighbour."""
     least = stage(edges.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"), F.count("*").alias("degree")), "least")
-    joined = join_spread(edges, least, "node", F.col("degree") > hot_limit(edges.count()))
+    if least.count() <= BROADCAST_ROWS:
+        joined = edges.join(F.broadcast(least), "node")
+    else:
+        edges = stage(edges, "edges")
+        joined = join_spread(edges, least, "node", F.col("degree") > hot_limit(edges.count()))
     if larger_only:
         return joined.where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("least").alias("root"))
     return joined.select(F.col("root").alias("node"), F.col("least").alias("root")).union(least.select("node", F.col("least").alias("root")))

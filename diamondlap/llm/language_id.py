@@ -18,7 +18,7 @@ longer than itself; one of fewer letters than the shortest must reach MIN_SCORE.
 Defined cases: a null text, an empty one or one without letters is `und` with
 score 0, and so is every text if nothing could be learned. Equal distances go to
 the smaller language name, equal n-gram counts to the smaller n-gram. Repeated
-rows are predicted each. A null doc_id counts as not held out. Columns other
+rows are predicted each, texts of any length as a whole. A null doc_id counts as not held out. Columns other
 than those named are not read.
 """
 
@@ -217,7 +217,7 @@ def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "
         for batch in batches:
             for _, texts in byte_slices(batch.column(0)):
                 for raw in texts:
-                    x = symbols(raw[: 16 * PIECES[-1]])
+                    x = symbols(raw)
                     for k, n in enumerate(PIECES):
                         piece = beginning(x, n)
                         if piece is None:

@@ -23,7 +23,8 @@ A token is known by a 64-bit hash. Its count is the training count of its hash.
 Defined cases: a null or empty text is one end token. A null doc_id counts as
 training text. Repeated rows count and are scored each. Without training tokens
 every probability within a class is one, and so is the base. An empty table
-gives no rows. Other columns are not read.
+gives no rows. Very long texts are scored as a whole, in batches of positions. Other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ as their measured size needs; every url meets every block.
 Defined cases: a null url or one without `://` has an empty host and path and
 fits no rule. A url that no rule fits gets the default verdict. Null or empty
 rule hosts are left out, a null rule path is empty. Repeated rows are judged
-each. An empty table gives no rows.
+each. Of a very long url all suffixes and beginnings that a rule may have are looked up.
+An empty table gives no rows. Columns other than page_id and url are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ the problem of the cluster, shifted by its mean, is solved by itself and turns t
 Iterations end when the correction is below double precision.
 
 Defined cases: rows whose vector is null or empty or holds a null or non-finite
-entry are left out. Entries are clipped at +-2**40 after scaling. Vectors of each
+entry are left out. Entries are clipped at +-2**40 after scaling; n * x has to fit a
+long, which allows 8 million distinct vectors if entries are as large as that and 2**42 if they are
+below 2**20. Vectors of each
 length are whitened by themselves, and n, S and V are those of their length.
 Repeated rows are projected each and counted once. Components whose eigenvalue is
 zero up to rounding (as with fewer vectors than dimensions, or a single one) have a
