@@ -50,7 +50,7 @@ STEP = 4  # bytes of a value
 RECALL = 0.9995
 MARGIN = 0.25
 BRANCH = 2_048  # classes of a branch, and rows of one part of it that are compared at once with as many others
-CLUSTER, CLUSTER_BYTES = 512, 16 << 20  # rows and bytes of a part of a cluster
+CLUSTER, CLUSTER_BYTES = 512, 4 << 20  # rows and bytes of a part of a cluster
 SLICE = 1_000_000
 
 _rng = np.random.default_rng(20_240_229)
