@@ -17,13 +17,15 @@ STATE = "race_id INT, finished BOOLEAN"
 
 def race_batch(batch: DataFrame, epoch: int, out: str, history: DataFrame) -> None:
     """Store a batch of feeds: snapshots, flags, poll-time projections, and for
-    each race in it whether it has taken the checkered flag."""
+    each race in it whether it has taken the checkered flag. Projections are made
+    from the snapshots as written, so that these are parsed once."""
     batch = batch.persist()
     try:
         rows = nascar.snapshot(batch)
         fd.write_epoch(rows, f"{out}/live_snapshots", epoch)
         fd.write_epoch(nascar.flags(batch), f"{out}/flags", epoch)
-        fd.write_epoch(racing.poll_projection(rows, history), f"{out}/poll_projections", epoch)
+        written = batch.sparkSession.read.schema(rows.schema).parquet(f"{out}/live_snapshots/epoch={epoch}")
+        fd.write_epoch(racing.poll_projection(written, history), f"{out}/poll_projections", epoch)
         done = F.get_json_object("data", "$.flag_state").try_cast("int") == codes.CHECKERED
         state = batch.groupBy(F.col("race_id").cast("int").alias("race_id")).agg(F.coalesce(F.bool_or(done), F.lit(False)).alias("finished"))
         fd.write_epoch(state, f"{out}/race_state", epoch)
