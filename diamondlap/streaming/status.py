@@ -2,7 +2,8 @@
 
 The state of a game is the status of its newest document. Once that is final a
 timer is set, and when it runs out the game's state is dropped, so state holds
-the games of the last days and no more.
+the games of the last days and no more. Games are kept in groups by a hash: every call for state goes from Python
+to the JVM and back, so a batch makes a few calls for each group instead of for each game.
 """
 
 from __future__ import annotations
@@ -20,6 +21,12 @@ NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "game_pk INT, action STRING, before STRING, status STRING, status_changed BOOLEAN"
 FINAL = "Final"
+GROUPS = 16_384
+KEPT = "games ARRAY<INT>, statuses ARRAY<STRING>, ends ARRAY<BIGINT>"  # a game's end: when its state is dropped, or null
+
+
+def _rank(doc: Row) -> tuple:
+    return doc["fetched_at"] is not None, doc["fetched_at"] or 0, -doc["digest"]
 
 
 class GameStatus(StatefulProcessor):
@@ -30,23 +37,43 @@ class GameStatus(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("status", "status STRING")
+        self.last = handle.getValueState("statuses", KEPT)
+
+    def _kept(self) -> dict[int, tuple]:
+        """Status and end of each game of the group."""
+        kept = self.last.get()
+        return {} if kept is None else {game: rest for game, *rest in zip(*kept)}
+
+    def _keep(self, kept: dict[int, tuple]) -> None:
+        if not kept:
+            return self.last.clear()
+        statuses, ends = zip(*kept.values())
+        self.last.update((list(kept), list(statuses), list(ends)))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = max(rows, key=lambda r: (r["fetched_at"] is not None, r["fetched_at"] or 0, -r["digest"]))
-        known = self.last.exists()
-        before = self.last.get()[0] if known else None
-        status = newest["status"]
-        action = "inserted" if not known else "skipped" if before == FINAL else "updated"
-        if action != "skipped":
-            self.last.update((status,))
-            if status == FINAL:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
-        changed = action != "skipped" and (not known or before != status)
-        yield Row(game_pk=key[0], action=action, before=before, status=before if action == "skipped" else status, status_changed=changed)
+        newest: dict[int, Row] = {}
+        for doc in rows:
+            held = newest.get(doc["game_pk"])
+            if held is None or _rank(doc) > _rank(held):
+                newest[doc["game_pk"]] = doc
+        kept, end, out, finished = self._kept(), timerValues.getCurrentProcessingTimeInMs() + self.keep_ms, [], False
+        for game, doc in newest.items():
+            known, status = game in kept, doc["status"]
+            before = kept[game][0] if known else None
+            action = "inserted" if not known else "skipped" if before == FINAL else "updated"
+            if action != "skipped":
+                kept[game] = (status, end if status == FINAL else None)
+                finished = finished or status == FINAL
+            changed = action != "skipped" and (not known or before != status)
+            out.append(Row(game_pk=game, action=action, before=before, status=before if action == "skipped" else status, status_changed=changed))
+        self._keep(kept)
+        if finished:
+            self.handle.registerTimer(end)
+        return iter(out)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.last.clear()
+        over = expiredTimerInfo.getExpiryTimeInMs()
+        self._keep({game: (status, end) for game, (status, end) in self._kept().items() if end is None or end > over})
         return iter(())
 
     def close(self) -> None:
@@ -57,8 +84,8 @@ def status_rows(docs: DataFrame, keep_seconds: float) -> DataFrame:
     """CHANGES rows of a stream of game_pk (optional), data and fetched_at. Of a document the
     header's status goes on, and neither its text nor its digest is kept."""
     heads = landing.game_header(docs).filter(F.col("game_pk").isNotNull())
-    brief = heads.select("game_pk", "status", F.col("fetched_at").cast("timestamp").cast("double").alias("fetched_at"), F.xxhash64("data").alias("digest"))
-    return brief.groupBy("game_pk").transformWithState(GameStatus(keep_seconds), CHANGES, "Update", "ProcessingTime")
+    brief = heads.select(F.pmod(F.xxhash64("game_pk"), F.lit(GROUPS)).cast("int").alias("group"), "game_pk", "status", F.col("fetched_at").cast("timestamp").cast("double").alias("fetched_at"), F.xxhash64("data").alias("digest"))
+    return brief.groupBy("group").transformWithState(GameStatus(keep_seconds), CHANGES, "Update", "ProcessingTime")
 
 
 def watch_status(docs: DataFrame, out: str, keep_seconds: float = 2 * 86_400, every: str | None = None) -> StreamingQuery:
