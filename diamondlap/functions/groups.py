@@ -19,7 +19,8 @@ def _names(by: str | Sequence[str]) -> list[str]:
 
 
 def join_back(df: DataFrame, stats: DataFrame, by: str | Sequence[str]) -> DataFrame:
-    """Left join of per-group rows; a NULL key is a group like any other."""
+    """Left join of per-group rows; a NULL key is a group like any other. Groups
+    within games are small but as many as there are games, so these are never broadcast."""
     by = _names(by)
     if not by:
         return df.join(F.broadcast(stats))  # one row: an aggregate without keys
@@ -28,6 +29,8 @@ def join_back(df: DataFrame, stats: DataFrame, by: str | Sequence[str]) -> DataF
         *[c for c in stats.columns if c not in by],
     )
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    if "game_pk" in by:
+        right = right.hint("merge")
     return df.join(right, on, "left").drop(*[f"__{k}" for k in by])
 
 

@@ -191,7 +191,7 @@ def batter_lookup(tt: DataFrame, at_bats: DataFrame, name: str, season: int | No
 
 def _pitch_lines(pitches: DataFrame, at_bats: DataFrame) -> DataFrame:
     names = at_bats.select("game_pk", "at_bat_index", "pitcher_name")
-    return pitches.filter(F.col("pitch_type_code").isNotNull()).join(names, ["game_pk", "at_bat_index"])
+    return pitches.filter(F.col("pitch_type_code").isNotNull()).hint("merge").join(names, ["game_pk", "at_bat_index"])  # both grow with the games
 
 
 def in_game_stats(pitches: DataFrame, at_bats: DataFrame, min_pitches: int = 5, k: int | None = 10) -> DataFrame:

@@ -19,7 +19,8 @@ def pitch_context(
     """Pitches with their at-bat and game, inner joined.
 
     At-bats meet games first: both are far smaller than pitches, so the pitch
-    rows are shuffled once (or not at all when the other side fits broadcast).
+    rows are shuffled once (or not at all when both are stored in buckets). Neither side is broadcast: both
+    grow with the games, and files of many columns tell too little of what a few of them take up in memory.
     The two-column key spreads one very long game over many tasks.
     """
     p = pitches if pitches_where is None else pitches.filter(pitches_where)
@@ -28,7 +29,7 @@ def pitch_context(
     # A column held by more than one table is taken from the finest of them.
     a = a.select("game_pk", "at_bat_index", *[c for c in a.columns if c not in pitches.columns])
     g = g.select("game_pk", *[c for c in g.columns if c not in {*a.columns, *pitches.columns}])
-    return p.join(a.join(g, "game_pk"), ["game_pk", "at_bat_index"]).select(*columns)
+    return p.hint("merge").join(a.join(g, "game_pk"), ["game_pk", "at_bat_index"]).select(*columns)
 
 
 def game_scope(
