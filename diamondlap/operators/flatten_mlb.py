@@ -47,7 +47,9 @@ def parse(raw: DataFrame) -> ParsedDocuments:
 def parsed(raw: Documents, schema: str) -> DataFrame:
     if isinstance(raw, ParsedDocuments):
         return raw.rows("d", schema).filter("readable").select("game_pk", "game_date", "d")
-    return raw.select("game_pk", "game_date", F.from_json("data", schema).alias("d"))
+    # Named twice, a text that is itself written by an expression is written before, not row by row inside the parser.
+    text = F.when(F.col("data").isNotNull(), F.from_json("data", schema))
+    return raw.select("game_pk", "game_date", text.alias("d"))
 
 
 def rejects(raw: Documents) -> DataFrame:
@@ -109,13 +111,17 @@ def at_bats(raw: Documents) -> DataFrame:
 
 
 def pitches(raw: Documents) -> DataFrame:
-    """Pitch events; pitch_index is the place among all events of the at-bat."""
+    """Pitch events; pitch_index is the place among all events of the at-bat.
+
+    The columns are too many for one generated method to be compiled by the JVM. Spin is read over a list, which
+    keeps Spark from generating one method for all of them."""
     events = plays(raw, schemas.GAME_EVENTS).select(
         "game_pk", F.col("play.about.atBatIndex").alias("at_bat_index"),
         F.col("play.matchup.pitcher.id").alias("pitcher_id"), F.col("play.matchup.batter.id").alias("batter_id"),
         F.posexplode("play.playEvents").alias("pitch_index", "e"),
     ).filter(F.col("e.isPitch"))
-    return events.select(
+    spin = F.array("e.pitchData.breaks.spinRate", "e.pitchData.breaks.spinDirection")
+    rows = events.select(
         "game_pk", "at_bat_index", "pitch_index", "pitcher_id", "batter_id",
         *fields("e", {
             "pitch_number": "pitchNumber", "pitch_type_code": "details.type.code",
@@ -139,8 +145,11 @@ def pitches(raw: Documents) -> DataFrame:
             "launch_angle": "hitData.launchAngle", "hit_distance": "hitData.totalDistance",
             "hit_coord_x": "hitData.coordinates.coordX", "hit_coord_y": "hitData.coordinates.coordY",
         }.items()],
-        safe_float("e.pitchData.breaks.spinRate").cast("int").alias("spin_rate"),
-        safe_float("e.pitchData.breaks.spinDirection").cast("int").alias("spin_direction"),
+        F.transform(spin, lambda x: safe_float(x).cast("int")).alias("__spin"),
+    )
+    return rows.select(
+        *[c for c in rows.columns if c != "__spin"],
+        F.get("__spin", F.lit(0)).alias("spin_rate"), F.get("__spin", F.lit(1)).alias("spin_direction"),
     )
 
 
@@ -200,13 +209,17 @@ def _players(raw: Documents, kind: str) -> DataFrame:
 
 
 def _stat_rows(raw: Documents, kind: str, whole: dict[str, str], real: dict[str, str], *extra: Column) -> DataFrame:
-    """One row per player with any stats of the kind."""
-    stat = lambda key: F.try_element_at("s", F.lit(key))
+    """One row per player with any stats of the kind. Real numbers are looked up over a list, which keeps Spark
+    from generating one method for all look-ups, too long for the JVM to compile."""
+    stat = lambda key: F.try_element_at("s", key)
     rows = _players(raw, kind).withColumn("s", F.col(f"stats.{kind}")).filter(F.size(F.coalesce("s", F.create_map())) > 0)
-    return rows.select(
+    rows = rows.select(
         "game_pk", "player_id", "team_id", *extra,
-        *[safe_int(stat(k)).alias(n) for n, k in whole.items()],
-        *[safe_float(stat(k)).alias(n) for n, k in real.items()],
+        *[safe_int(stat(F.lit(k))).alias(n) for n, k in whole.items()],
+        F.transform(F.array(*[F.lit(k) for k in real.values()]), lambda k: safe_float(stat(k))).alias("__real"),
+    )
+    return rows.select(
+        *[c for c in rows.columns if c != "__real"], *[F.get("__real", F.lit(i)).alias(n) for i, n in enumerate(real)]
     )
 
 
