@@ -39,6 +39,7 @@ MIN_SCORE = 0.02  # the pipeline rejects what scores less against every profile,
 PIECES = (3, 8, 32, 128, 512, 2048)  # letters of the pieces by which the pipeline learns what clean texts score
 NEAR = 0.5  # share of the usual score that a text as long as the piece must reach
 UNDECIDED = "und"
+SLICE = 500_000  # bytes of text whose n-grams (some 24 bytes each, sorted in copies) a task holds at once
 HELD = 1_000_000  # n-grams a task counts before it passes them on
 END = 1  # marks a word end; no letter
 _BITS = 21
@@ -88,39 +89,41 @@ def most_frequent(found: np.ndarray, limit: int = PROFILE) -> np.ndarray:
     return gram[np.argsort(key)]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int = PROFILE) -> dict[str, np.ndarray]:
-    """Profile of every language over all rows; at most `profile` n-grams each reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of (lang, text) rows and how often each occurs, added up as far as HELD allows."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def flush():
+        for name, (gram, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
+        held.clear()
+
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for first, texts in byte_slices(batch.column(1), SLICE):
+            by: dict[str, list[np.ndarray]] = {}
+            for name, raw in zip(langs[first:], texts):
+                by.setdefault(name, []).append(grams(raw))
+            for name, parts in by.items():
+                gram, n = np.unique(np.concatenate(parts), return_counts=True)
+                if name in held:
+                    gram, place = np.unique(np.concatenate((held[name][0], gram)), return_inverse=True)
+                    total = np.zeros(len(gram), np.int64)
+                    np.add.at(total, place, np.concatenate((held[name][1], n)))
+                    n = total
+                held[name] = gram, n.astype(np.int64)
+                if sum(len(g) for g, _ in held.values()) > HELD:
+                    yield from flush()
+    yield from flush()
 
-        def flush():
-            for name, (gram, n) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
-            held.clear()
 
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for first, texts in byte_slices(batch.column(1)):
-                by: dict[str, list[np.ndarray]] = {}
-                for name, raw in zip(langs[first:], texts):
-                    by.setdefault(name, []).append(grams(raw))
-                for name, parts in by.items():
-                    gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                    if name in held:
-                        gram, place = np.unique(np.concatenate((held[name][0], gram)), return_inverse=True)
-                        total = np.zeros(len(gram), np.int64)
-                        np.add.at(total, place, np.concatenate((held[name][1], n)))
-                        n = total
-                    held[name] = gram, n.astype(np.int64)
-                    if sum(len(g) for g, _ in held.values()) > HELD:
-                        yield from flush()
-        yield from flush()
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int = PROFILE) -> dict[str, np.ndarray]:
+    """Profile of every language over all rows; at most `profile` n-grams each reach the driver."""
 
     counted = (
         docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-        .mapInArrow(count, "lang string, gram bigint, n bigint")
+        .mapInArrow(count_grams, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -175,7 +178,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(profiles, profile)
         for batch in batches:
-            found = [nearest(raw, names, table, profile) for _, texts in byte_slices(batch.column(at)) for raw in texts]
+            found = [nearest(raw, names, table, profile) for _, texts in byte_slices(batch.column(at), SLICE) for raw in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],
@@ -215,7 +218,7 @@ def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "
         table = ranks(profiles)
         seen = np.zeros((len(names), len(PIECES), steps + 1), np.int64)
         for batch in batches:
-            for _, texts in byte_slices(batch.column(0)):
+            for _, texts in byte_slices(batch.column(0), SLICE):
                 for raw in texts:
                     x = symbols(raw)
                     for k, n in enumerate(PIECES):
@@ -260,7 +263,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         table = ranks(profiles)
         for batch in batches:
             keep = []
-            for _, texts in byte_slices(batch.column(at)):
+            for _, texts in byte_slices(batch.column(at), SLICE):
                 for raw in texts:
                     x = symbols(raw)
                     name, score = nearest_profile(ngrams(x), names, table)
