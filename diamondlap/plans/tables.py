@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from diamondlap.functions.groups import laid
+
 PITCHER = "(l_orderkey * 2 + l_linenumber % 2) % 80"
 BATTER = "(l_orderkey * 7 + l_linenumber) % 240"
 PITCHER_NAME = (
@@ -47,6 +49,7 @@ class View:
     source: str
     columns: tuple[str, ...]
     group_by: tuple[str, ...] = ()
+    lies_by: tuple[str, ...] = ()  # of group_by, what a large table is laid by; its groups have a few rows each
 
     def sql(self) -> str:
         text = f"SELECT {', '.join(self.columns)} FROM {self.source}"
@@ -77,7 +80,7 @@ VIEWS: dict[str, View] = {
         f"CASE WHEN {BATTER} % 2 = 0 THEN 'L' ELSE 'R' END AS bat_side",
         f"CASE WHEN {PITCHER} % 3 = 0 THEN 'L' ELSE 'R' END AS pitch_hand",
         f"{EVENT} AS event_type",
-    ), ("l_orderkey", "l_linenumber")),
+    ), ("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber")),
     "pitches": View("lineitem", (
         "l_orderkey AS game_pk",
         "CAST(l_linenumber AS INT) AS at_bat_index",
@@ -102,7 +105,7 @@ VIEWS: dict[str, View] = {
         "CAST(l_linenumber AS INT) AS inning",
         "CASE WHEN min(l_suppkey) % 2 = 0 THEN 'top' ELSE 'bottom' END AS half_inning",
         "CAST(min(l_partkey) % 4 AS INT) AS runs",
-    ), ("l_orderkey", "l_linenumber")),
+    ), ("l_orderkey", "l_linenumber"), ("l_orderkey",)),
     # Games of other rows have no partner, which leaves gaps without leaving out rows.
     "runners": View("lineitem", (
         "CASE l_returnflag WHEN 'R' THEN l_orderkey ELSE -1 - l_orderkey END AS game_pk",
@@ -129,7 +132,7 @@ VIEWS: dict[str, View] = {
         "CAST(min(l_suppkey) % 40 AS DOUBLE) / 100 AS cs_rate",
         "CAST(min(l_suppkey) % 60 AS DOUBLE) / 100 AS csw_rate",
         "CAST(min(l_partkey) % 40 AS DOUBLE) / 100 AS hard_hit_rate",
-    ), ("l_orderkey", "l_linenumber % 2", PITCH_TYPE)),
+    ), ("l_orderkey", "l_linenumber % 2", PITCH_TYPE), ("l_orderkey",)),
     "box_batting": View("lineitem", (
         "l_orderkey AS game_pk",
         f"CAST({BATTER} AS BIGINT) AS player_id",
@@ -140,7 +143,7 @@ VIEWS: dict[str, View] = {
         "CAST(sum(CASE WHEN l_quantity <= 42 AND l_returnflag = 'A' AND l_partkey % 4 = 3 THEN 1 ELSE 0 END) AS INT) AS home_runs",
         "CASE WHEN min(l_partkey) % 3 = 0 THEN NULL ELSE CAST(min(l_partkey) % 2 AS INT) END AS hit_by_pitch",
         "CASE WHEN min(l_partkey) % 5 = 0 THEN NULL ELSE CAST(min(l_suppkey) % 2 AS INT) END AS sac_flies",
-    ), ("l_orderkey", BATTER)),
+    ), ("l_orderkey", BATTER), ("l_orderkey",)),
     "season_pitching": View("lineitem", (
         "CAST(year(l_shipdate) + 24 AS INT) AS season",
         f"upper({PITCHER_NAME}) AS player_name",
@@ -240,6 +243,8 @@ class Tables:
         df = self.base(view.source)
         if not view.group_by:
             return df.selectExpr(*view.columns)
+        if view.lies_by:
+            df = laid(df, self.tasks(view.source), *view.lies_by)
         return df.groupBy(*[F.expr(k) for k in view.group_by]).agg(*[F.expr(c) for c in view.columns]).select(
             *[F.col(c.rsplit(" AS ", 1)[1]) for c in view.columns]
         )
