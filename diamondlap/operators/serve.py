@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diamondlap.functions import codes
-from diamondlap.functions.groups import first_per_key, top_k_per_group
+from diamondlap.functions.groups import first_per_key, laid, top_k_per_group
 from diamondlap.functions.scalars import (
     all_of, between_dates, half_up, match_text, match_unaccented, rate, ratio,
 )
@@ -194,10 +194,10 @@ def _pitch_lines(pitches: DataFrame, at_bats: DataFrame) -> DataFrame:
     return pitches.filter(F.col("pitch_type_code").isNotNull()).hint("merge").join(names, ["game_pk", "at_bat_index"])  # both grow with the games
 
 
-def in_game_stats(pitches: DataFrame, at_bats: DataFrame, min_pitches: int = 5, k: int | None = 10) -> DataFrame:
-    """Pitcher x type lines of each game; the k longest, or all."""
+def in_game_stats(pitches: DataFrame, at_bats: DataFrame, min_pitches: int = 5, k: int | None = 10, tasks: int | None = None) -> DataFrame:
+    """Pitcher x type lines of each game; the k longest, or all. With `tasks` all of a game is made in one of so many."""
     rows = (
-        _pitch_lines(pitches, at_bats)
+        laid(_pitch_lines(pitches, at_bats), tasks, "game_pk")
         .groupBy("game_pk", "pitcher_name", "pitch_type_code")
         .agg(
             F.count(F.lit(1)).cast("bigint").alias("pitches"),
@@ -262,13 +262,16 @@ def score(linescore: DataFrame) -> DataFrame:
     )
 
 
-def game_board(schedule: DataFrame, linescore: DataFrame, pitches: DataFrame, at_bats: DataFrame, min_pitches: int = 5, k: int = 10) -> DataFrame:
-    """Running and finished games with their score and longest pitcher lines."""
-    shown = schedule.filter(F.col("status").isin(*codes.LIVE_STATES, *codes.FINAL_STATES))
+def game_board(
+    schedule: DataFrame, linescore: DataFrame, pitches: DataFrame, at_bats: DataFrame, min_pitches: int = 5, k: int = 10,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Running and finished games with their score and longest pitcher lines. `tasks` is for large tables, whose rows
+    would be sorted in too large pieces by the session's number of tasks."""
+    shown = laid(schedule.filter(F.col("status").isin(*codes.LIVE_STATES, *codes.FINAL_STATES)), tasks, "game_pk")
     keys = shown.select("game_pk")
-    lines = in_game_stats(
-        pitches.join(keys, "game_pk", "left_semi"), at_bats, min_pitches, k
-    )
+    thrown = laid(pitches.join(keys, "game_pk", "left_semi"), tasks, "game_pk", "at_bat_index")
+    lines = in_game_stats(thrown, at_bats, min_pitches, k, tasks)
     # At most k lines per game by construction.
     listed = lines.groupBy("game_pk").agg(
         F.array_sort(F.collect_list(F.struct(

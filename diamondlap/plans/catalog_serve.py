@@ -202,7 +202,7 @@ def _(t):
     f"(SELECT * FROM ({_IN_GAME}) QUALIFY row_number() OVER (PARTITION BY game_pk ORDER BY pitches DESC, pitcher_name, pitch_type_code) <= 3) GROUP BY game_pk) l "
     "ON l.game_pk = g.game_pk", f"s AS ({_SCORE})"))
 def _(t):
-    out = serve.game_board(t.games.select("game_pk", "status"), t.linescore, t.pitches, t.at_bats, min_pitches=2, k=3)
+    out = serve.game_board(t.games.select("game_pk", "status"), t.linescore, t.pitches, t.at_bats, min_pitches=2, k=3, tasks=t.tasks("lineitem"))
     return out.select(
         "game_pk", "status", "away_score", "home_score", "inning", "is_live", "is_final",
         F.size("pitcher_stats").cast("bigint").alias("lines"),
